@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.llm.packing import pack_documents
+from kvstrata.llm.sentencepiece_codec import encode_documents
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,12 +17,24 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("piece_bpe_32k.model"))
+    return pieces.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).alias("n_bytes"),
+    )
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_pack": op5_pack,
 }
 
