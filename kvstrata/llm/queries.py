@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
 
@@ -33,9 +34,14 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_pack": op5_pack,
+    "op8_langid": op8_langid,
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,7 @@ empty table gives no rows; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
 from collections.abc import Iterator
@@ -215,16 +216,21 @@ class PieceModel:
         total = int(ends[-1]) if len(ends) else 0
         data = self.surfaces[np.repeat(at - (ends - n), n) + np.arange(total)].tobytes()
         bound = [0, *np.concatenate([[0], ends])[np.cumsum(counts)].tolist()]
+        parted = self.surface_len[flat] == 0  # a control id between two byte pieces parts them
+        parted[(first + counts - 1)[counts > 0]] = False
+        parted = np.concatenate([[0], np.cumsum(parted)])
+        parted = (parted[first + counts] > parted[first]).tolist()
         out = []
         for k, x in enumerate(ids):
             raw = data[bound[k] : bound[k + 1]]
-            try:
-                out.append(raw.decode())
-            except UnicodeDecodeError:
-                out.append(self._broken(x, n[first[k] : first[k] + len(x)], at[first[k] : first[k] + len(x)]))
+            whole = None
+            if not parted[k]:
+                with contextlib.suppress(UnicodeDecodeError):
+                    whole = raw.decode()
+            out.append(self._by_runs(x, n[first[k] : first[k] + len(x)], at[first[k] : first[k] + len(x)]) if whole is None else whole)
         return out
 
-    def _broken(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> str:
+    def _by_runs(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> str:
         out, run = [], bytearray()
 
         def flush() -> None:
