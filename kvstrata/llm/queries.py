@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.llm.chat import format_conversations, read_back
+from kvstrata.llm.html_extract import extract
 from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
@@ -42,6 +43,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_chat": op4_chat,
     "op5_pack": op5_pack,
+    "op6_html": op6_html,
     "op8_langid": op8_langid,
 }
 
