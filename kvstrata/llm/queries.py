@@ -12,6 +12,7 @@ from kvstrata.llm.html_extract import extract
 from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
+from kvstrata.llm.sharding import shard
 
 
 def tokenizer_file(name: str) -> str:
@@ -47,6 +48,11 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_pack": op5_pack,
     "op6_html": op6_html,
+    "op7_shard": op7_shard,
     "op8_langid": op8_langid,
 }
 
