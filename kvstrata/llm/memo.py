@@ -10,26 +10,17 @@ import pyarrow.compute as pc
 
 
 class Memo(dict):
-    """chunk -> ids as little-endian 32-bit bytes. Two generations bound its size: a full one becomes the old one, whose entries are taken over as they are met again."""
+    """chunk -> ids as little-endian 32-bit bytes, encoded when first met. A full memo starts over, which bounds its size."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], entries: int = 300_000):
+    def __init__(self, encode: Callable[[str], list[int]], entries: int = 700_000):
         super().__init__()
-        self.encode, self.entries, self.old = encode, entries, {}
+        self.encode, self.entries = encode, entries
 
-    def admit(self, chunks: set[str]) -> None:
-        if len(self) > self.entries:
-            self.old = dict(self)
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.entries:
             self.clear()
-        missing = []
-        for c in chunks.difference(self):
-            got = self.old.get(c)
-            if got is None:
-                missing.append(c)
-            else:
-                self[c] = got
-        if missing:
-            for c, ids in zip(missing, self.encode(missing), strict=True):
-                self[c] = np.asarray(ids, "<u4").tobytes()
+        self[chunk] = ids = np.array(self.encode(chunk), "<u4").tobytes()
+        return ids
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterable[pa.RecordBatch]:

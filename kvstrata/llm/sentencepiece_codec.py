@@ -117,12 +117,8 @@ class PieceModel:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=self.blob)
-        self.memo = Memo(self._segments)
-
-    def _segments(self, segments: list[str]) -> list[list[int]]:
-        """A segment starts with its spaces; the library puts the first one before the text itself."""
-        got = self.library.encode([s[1:] for s in segments], num_threads=1)
-        return [ids if len(s) > 1 else [self.lone] for s, ids in zip(segments, got, strict=True)]
+        #: By the segment without its first space, which the library puts before a text itself.
+        self.memo = Memo(lambda rest: self.library.encode(rest) if rest else [self.lone])
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them and for the end the byte of the original it came from."""
@@ -179,10 +175,9 @@ class PieceModel:
             if not self.plain or SPACE in t or not t:
                 cut.append(None)
             elif "  " in t or t[0] == " ":
-                cut.append(re.findall(r" +[^ ]*", " " + t))
+                cut.append([s[1:] for s in re.findall(r" +[^ ]*", " " + t)])
             else:
-                cut.append([" " + w for w in t.split(" ")])
-        self.memo.admit(set().union(*[c for c in cut if c]))
+                cut.append(t.split(" "))
         get, end = self.memo.__getitem__, np.array([self.end], "<u4").tobytes()
         ids = [np.frombuffer(b"".join([*map(get, c), end]) if c else np.array([*self.library.encode(t), self.end], "<u4").tobytes(), "<i4") for t, c in zip(texts, cut, strict=True)]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
