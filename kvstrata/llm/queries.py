@@ -13,6 +13,7 @@ from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
 from kvstrata.llm.sharding import shard
+from kvstrata.llm.topk import top_k
 
 
 def tokenizer_file(name: str) -> str:
@@ -57,6 +58,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_chat": op4_chat,
@@ -64,6 +70,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_shard": op7_shard,
     "op8_langid": op8_langid,
+    "op9_topk": op9_topk,
 }
 
-ORACLES: dict[str, str] = {}
+OP9_SQL = """
+WITH fine AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_topk": OP9_SQL,
+}
