@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.llm.chat import format_conversations, read_back
+from kvstrata.llm.embedding_dedup import near_duplicates as near_vectors
 from kvstrata.llm.html_extract import extract
 from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
@@ -63,6 +64,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_chat": op4_chat,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shard": op7_shard,
     "op8_langid": op8_langid,
     "op9_topk": op9_topk,
+    "op10_embeddings": op10_embeddings,
 }
 
 OP9_SQL = """
