@@ -14,6 +14,7 @@ from kvstrata.llm.langid import identify_held_out
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
 from kvstrata.llm.sharding import shard
+from kvstrata.llm.substring_dedup import remove_repeats
 from kvstrata.llm.topk import top_k
 
 
@@ -34,6 +35,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
@@ -70,6 +76,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_substring": op3_substring,
     "op4_chat": op4_chat,
     "op5_pack": op5_pack,
     "op6_html": op6_html,
