@@ -11,6 +11,7 @@ from kvstrata.llm.chat import format_conversations, read_back
 from kvstrata.llm.embedding_dedup import near_duplicates as near_vectors
 from kvstrata.llm.html_extract import extract
 from kvstrata.llm.langid import identify_held_out
+from kvstrata.llm.minhash import near_duplicates as near_documents
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.sentencepiece_codec import encode_documents
 from kvstrata.llm.sharding import shard
@@ -24,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("piece_bpe_32k.model"))
     return pieces.select(
@@ -75,6 +80,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_substring": op3_substring,
     "op4_chat": op4_chat,
