@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +39,10 @@ def _hex_f32(x: pd.Series) -> pd.Series:
 
 
 def _from_bits(x: pd.Series) -> pd.Series:
+    """NaN is a value and not a null here, which only an Arrow-backed series can tell apart."""
     kinds = {4: "<f4", 8: "<f8"}
-    return pd.Series([float(np.frombuffer(bytes(b), kinds[len(b)])[0]) if b is not None and len(b) in kinds else None for b in x], dtype="float64")
+    found = [float(np.frombuffer(bytes(b), kinds[len(b)])[0]) if b is not None and len(b) in kinds else None for b in x]
+    return pd.Series(pd.arrays.ArrowExtensionArray(pa.array(found, pa.float64())))
 
 
 def little(n: Column, width: int) -> Column:
