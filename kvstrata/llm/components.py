@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvstrata.llm.storage import Scratch
 
 
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id reached) that span what the pairs of places (a, b) connect."""
+    used, inverse = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
+    a, b = inverse[: len(a)], inverse[len(a) :]
+    root = np.arange(len(used))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        np.minimum.at(new, root, new)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(used))
+    return used[other], used[root[other]]
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node of `edges` (u, v); a component is its smallest node. Loops and null ends don't count.
 

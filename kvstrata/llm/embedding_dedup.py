@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvstrata.llm.components import connected_components
+from kvstrata.llm.components import connected_components, forest
 from kvstrata.llm.storage import Scratch
 
 SAMPLE = 4096
@@ -67,24 +67,6 @@ def fit(x: np.ndarray, cells: int, limit: float, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, smallest id reached) that span what the pairs of places (a, b) connect."""
-    used, inverse = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
-    a, b = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(used))
-    while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        np.minimum.at(new, root, new)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    other = root != np.arange(len(used))
-    return used[other], used[root[other]]
-
-
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept (vec_id = component_id) of every row; equal labels only are compared."""
     spark = vectors.sparkSession

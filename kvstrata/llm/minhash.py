@@ -5,11 +5,15 @@ the set, truncated and spaced exponentially with base BASE; registers of a union
 of ROWS registers each are hashed, and documents that share a band are candidates: at similarity 0.75 a pair shares none
 with probability (1 - 0.75**ROWS)**BANDS, under 3e-7. Documents with equal sets are one node from the start.
 
-In a band's bucket every node is first paired with the smallest one, so a bucket of any size gives as many pairs as nodes.
-After these links, only buckets that hold several groups are looked at again, and only nodes of different groups are
-paired. A pair's similarity is estimated jointly from both sketches and both set sizes by maximum likelihood; pairs whose
+In a band's bucket every node is paired with the smallest one, its centre, so a bucket of any size gives as many pairs as
+nodes. A pair's similarity is estimated jointly from both sketches and both set sizes by maximum likelihood; pairs whose
 estimate is more than SLACK under the limit (six deviations) go, and all others are confirmed on the full sets.
 
+After these links, only nodes of one centre that are still in different groups can matter. They are compared on their full
+sets in blocks of BLOCK nodes, by products of incidence matrices inside a task; a block pair gives back only links that span
+what it connects. So no pairs of a family are ever rows, and copies with changes of their own, most of whose pairs
+are just under the limit, cost products and not data.
+
 Defined cases: null texts and texts without words have the empty set and link with nothing; with fewer words than a shingle
 has, all of them are one; a row with a null id is kept and links with nothing; rows of one id are one node with the links of
 all of them; an empty table gives no rows; columns other than id and text are ignored.
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.components import connected_components
+from kvstrata.llm.components import connected_components, forest
 from kvstrata.llm.langid import text_bytes
 from kvstrata.llm.memo import slices
 from kvstrata.llm.shingles import LOWER, inside, mix, windows, word_hashes, words
@@ -36,6 +40,8 @@ BANDS, ROWS = 56, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 SLACK = 0.17
+BLOCK = 256
+COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,12 +131,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "keys"])
 
 
+def _sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
+    return one, two
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = LIMIT[0] / LIMIT[1] - SLACK
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-            keep = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
+            keep = estimate(*_sketches(batch), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
             yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(keep)))
 
 
@@ -142,12 +152,40 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = []
             for k in range(part.num_rows):
                 x, y = one[0][at[0][k] : at[0][k + 1]], two[0][at[1][k] : at[1][k + 1]]
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if len(x) and len(y) and LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both):
+                if len(x) and len(y) and linked(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))), len(x), len(y)):
                     keep.append(k)
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def linked(both, n_a, n_b):
+    return LIMIT[1] * both >= LIMIT[0] * (n_a + n_b - both)
+
+
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the nodes of two blocks (or of one) that are in different groups, as (id, smallest id reached)."""
+    values, sizes = sets(table["text"].combine_chunks())
+    block, ids, group = (table[c].to_numpy() for c in ("block", "id", "group"))
+    left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    node, column = node[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    node, column = node[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        holds = np.zeros((len(sizes), COLUMNS), np.float32)
+        holds[node[a:b], column[a:b] - start] = 1
+        both += holds[left] @ holds[right].T
+    found = linked(both.astype(np.int64), sizes[left][:, None], sizes[right][None, :]) & (both > 0) & (group[left][:, None] != group[right][None, :])
+    i, j = np.nonzero(found)
+    u, v = forest(ids, left[i], right[j]) if len(i) else (np.zeros(0, np.int64),) * 2
+    return pa.table({"a": u, "b": v})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id its links reach) and kept (doc_id = component_id) of every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -159,30 +197,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
     buckets = scratch.keep(bands.join(shared, "key"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that the full sets confirm."""
-        one = nodes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        two = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        likely = scratch.keep(pairs.join(one, "a").join(two, "b").mapInArrow(_likely, "a bigint, b bigint"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = scratch.keep(docs.join(wanted, "id", "left_semi"))
-        one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        found = scratch.keep(likely.join(one, "a").join(two, "b").mapInArrow(_confirm, "a bigint, b bigint"))
-        scratch.drop(texts, likely)
-        return found
-
     tried = scratch.keep(buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    linked = links(tried)
-    groups = scratch.keep(connected_components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
-    placed = buckets.where("size > 2").join(groups, buckets["rep"] == groups["id"], "left")
-    placed = scratch.keep(placed.select("key", "rep", "first", F.coalesce("component", "rep").alias("component")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = scratch.keep(placed.join(mixed, "key", "left_semi").where("rep <> first").select("key", "rep", "component"))
-    one, two = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("c")), rest.select("key", F.col("rep").alias("b"), F.col("component").alias("d"))
-    more = one.join(two, "key").where("a < b AND c <> d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    late = links(scratch.keep(more))
+    scratch.drop(buckets)
+    one = nodes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    likely = scratch.keep(tried.join(one, "a").join(two, "b").mapInArrow(_likely, "a bigint, b bigint"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.distinct(), "id", "left_semi")
+
+    def groups_of(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
+
+    texts = scratch.keep(texts_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))))
+    text_a, text_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    links = scratch.keep(likely.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))
+    scratch.drop(texts, likely)
+    groups = groups_of(links)
+    placed = scratch.keep(tried.join(groups.select(F.col("id").alias("b"), "component"), "b", "left").select("a", F.col("b").alias("id"), F.coalesce("component", "b").alias("group")))
+    scratch.drop(tried)
+    mixed = placed.groupBy("a").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("a", "blocks")
+    family = placed.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), "blocks").cast("int"))
+    family = scratch.keep(family.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "block", "id", "group"))
+    texts = scratch.keep(texts_of(family.select("id")))
+    late = scratch.keep(family.join(texts, "id").groupBy("a", "l", "r").applyInArrow(_compare, "a bigint, b bigint"))
+    scratch.drop(texts, placed, family)
     if late.head(1):
-        groups = connected_components(linked.unionByName(late).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        groups = groups_of(links.unionByName(late))
     rep = nodes.select("h1", "h2", "n", "rep")
     out = signed.select("id", "n", "h1", "h2").join(rep, ["h1", "h2", "n"], "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     least = F.coalesce("component", "rep", "id")
