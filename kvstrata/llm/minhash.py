@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.keep(nodes)
     bands = nodes.select("rep", "sketch").mapInArrow(_bands, "rep bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rep")
     shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets = scratch.keep(bands.join(shared, "key"))
+    buckets = scratch.keep(bands.join(shared.hint("merge"), "key"))  # sorted at every size: what repeats grows with the input
 
     tried = scratch.keep(buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     scratch.drop(buckets)
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = scratch.keep(tried.join(one, "a").join(two, "b").mapInArrow(_likely, "a bigint, b bigint"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.distinct(), "id", "left_semi")
+        return docs.join(ids.distinct().hint("merge"), "id", "left_semi")
 
     def groups_of(pairs: DataFrame) -> DataFrame:
         return scratch.keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
