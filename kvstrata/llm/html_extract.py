@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into text nodes, each with its root-to-leaf tag path. Elements that never hold an article (menus,
-headers, footers, asides, forms, scripts, and those whose class, id or role says so) are left out with all they hold. Over
-the other nodes, text length and punctuation are summed per tag path; a node's ratio is its path's mean text length times
-its mean punctuation, smoothed over neighbouring nodes, and nodes at or over the page's threshold are content. The article
+headers, footers, asides, forms, scripts) are left out with all they hold. Over the other nodes, text length and
+punctuation are summed per tag path; a node's ratio is its path's mean text length times its mean punctuation, smoothed
+over neighbouring nodes, and nodes at or over the page's threshold are content. A class, id or role that speaks against an
+element only lowers the ratios of what it holds, and not where it is or holds an article or a large share of the page; its
+nodes have paths of their own and stay if they still reach the threshold. The article
 is the smallest element that holds nearly all the content's weight (an article or main element where there is one); its
 other paths stay, unless they are runs of links without punctuation.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,25 +37,54 @@ SCOPE = frozenset("table ul ol dl select article section div body main".split())
 #: Elements and class, id or role words that mark what isn't the article.
 NEVER = frozenset("head nav header footer aside form button select dialog menu audio video canvas object map".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer\w*|header|masthead|topbar|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w+|signup|login|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|share|sharing|social\w*|related\w*|recommend\w*|toolbar|pagination|pager|search\w*|form|complementary|contentinfo|skip|legal|copyright|disclaimer)(?=$|[\s_-])",
+    r"(?:ad|ads|adv|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer\w*|header|masthead|topbar|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w+|signup|login|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|share|sharing|social\w*|related\w*|recommend\w*|toolbar|pagination|pager|search\w*|form|complementary|contentinfo|skip|legal|copyright|disclaimer)",
     re.I,
 )
+#: Parts of names that leave a hint beside them what it is, and those that make it a state of something else.
+PLAIN = re.compile(r"|\d+|area|bar|block|body|bottom|box|btn|buttons?|col|column|container|content|div|global|group|icons?|inner|items?|left|links?|list|main|outer|page|panel|posts?|articles?|primary|right|section|secondary|site|text|title|top|wrap|wrapper", re.I)
+STATE = frozenset("with without has no not non is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 NEAR_ALL = 0.8
+#: A hint multiplies ratios by LOWERED, unless its element holds LARGE of the page's ratio weight.
+LOWERED = 0.2
+LARGE = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "path", "weight", "main", "link")
+    __slots__ = ("tag", "parent", "out", "path", "weight", "main", "link", "hint", "inside")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, main: bool):
+    def __init__(self, tag: str, parent: Element | None, out: bool, main: bool, hint: bool = False):
         self.tag, self.parent, self.weight = tag, parent, 0.0
         self.out = out or bool(parent and parent.out)
         self.main, self.path = main, f"{parent.path}/{tag}" if parent else tag
         self.link = tag == "a" or bool(parent and parent.link)
+        self.hint, self.inside = hint, main or bool(parent and parent.inside)
+
+    def lowered(self) -> bool:
+        e: Element | None = self
+        while e is not None and not e.hint:
+            e = e.parent
+        return e is not None
+
+
+@lru_cache(4096)
+def strength(name: str) -> int:
+    """2 for a name whose parts all are hints or plain, 1 for one that has a hint among other parts, else 0."""
+    parts = re.split("[-_]+", name)
+    hints = [bool(HINT.fullmatch(p)) for p in parts]
+    if not any(hints) or not STATE.isdisjoint(map(str.lower, parts)):
+        return 0
+    return 2 if all(h or PLAIN.fullmatch(p) for h, p in zip(hints, parts, strict=True)) else 1
+
+
+def hinted(tag: str, named: list[tuple[str, str, str, str]], inside: bool) -> bool:
+    """Whether class, id or role say so. Inside an article, sections and headings have ids of their subject, and compound names are of its matter."""
+    return any(strength(name) > inside for key, *values in named if not (inside and key.lower() == "id" and (tag == "section" or tag in HEADINGS)) for name in "".join(values).split())
 
 
 def read(page: str) -> list[tuple[Element, str, int]]:
@@ -99,10 +131,13 @@ def read(page: str) -> list[tuple[Element, str, int]]:
             close(("p",))
         if tag in SAME:
             close(SAME[tag])
-        hints = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])) if m[3] else ""
         main = tag in ("article", "main") or bool(m[3] and MAIN.search(m[3]))
-        out = tag in NEVER or not main and bool(hints and HINT.search(hints)) or bool(m[3] and HIDDEN.search(m[3]))
-        stack.append(Element(tag, stack[-1], out, main))
+        out = tag in NEVER or bool(m[3] and HIDDEN.search(m[3]))
+        hint = bool(m[3]) and hinted(tag, NAMED.findall(m[3]), stack[-1].inside)
+        stack.append(Element(tag, stack[-1], out, main, hint and not main))
+        if main and not hint and not stack[-1].out:
+            for e in stack:
+                e.hint = False
     text(page[at:])
     return nodes
 
@@ -112,17 +147,18 @@ def main_text(page: str | None) -> str:
     sized = [(e, len("".join(t.split())), len(PUNCTUATION.findall(t))) for e, t, _ in nodes]
     if not any(n for _, n, _ in sized):
         return ""
-    paths: dict[str, list[int]] = {}
-    for e, n, p in sized:
-        if n:
-            s = paths.setdefault(e.path, [0, 0, 0])
-            s[0] += n
-            s[1] += p
-            s[2] += 1
-    ratio = {k: n / c * (0.1 + p / c) for k, (n, p, c) in paths.items()}
-    full = [(e, n, ratio[e.path]) for e, n, _ in sized if n]
+    sized = [x for x in sized if x[1]]
+    keep_large(sized)
+    low = {id(e): e.lowered() for e, *_ in sized}
+    plain = [x for x in sized if not low[id(x[0])]]
+    paths, hints = sums(plain), sums([x for x in sized if low[id(x[0])]])
+    ratio = ratios(paths)
+    full = [(e, n, ratio[e.path]) for e, n, _ in plain]
     smooth = [(e, n, (r + sum(x[2] for x in full[max(0, i - 1) : i + 2])) / (1 + len(full[max(0, i - 1) : i + 2]))) for i, (e, n, r) in enumerate(full)]
-    threshold = sum(r for *_, r in smooth) / len(smooth) / 2
+    below = {k: LOWERED * r for k, r in ratios(hints).items()}
+    smooth += [(e, n, below[e.path]) for e, n, _ in sized if low[id(e)]]
+    threshold = sum(r for *_, r in smooth[: len(full)] or smooth) / len(full or smooth) / 2
+    passed = {id(e) for e, _, r in smooth if r >= threshold}
     total = 0.0
     elements: dict[int, Element] = {}
     for e, n, r in smooth:
@@ -145,13 +181,42 @@ def main_text(page: str | None) -> str:
         up = e
         while up is not None and up is not article:
             up = up.parent
-        if up is None or e.link and menu(e, paths):
+        if up is None or e.link and menu(e, paths) or low.get(id(e)) and id(e) not in passed:
             continue
         parts.append(t if block == last else " " + t)
         last = block
     return " ".join("".join(parts).split())
 
 
+def sums(sized: list[tuple[Element, int, int]]) -> dict[str, list[int]]:
+    """Text length, punctuation and number of nodes of each path."""
+    paths: dict[str, list[int]] = {}
+    for e, n, p in sized:
+        s = paths.setdefault(e.path, [0, 0, 0])
+        s[0] += n
+        s[1] += p
+        s[2] += 1
+    return paths
+
+
+def ratios(paths: dict[str, list[int]]) -> dict[str, float]:
+    return {k: n / c * (0.1 + p / c) for k, (n, p, c) in paths.items()}
+
+
+def keep_large(sized: list[tuple[Element, int, int]]) -> None:
+    """Takes the hint from elements that hold a large share of the page's ratio weight."""
+    ratio, total, held = ratios(sums(sized)), 0.0, {}
+    for e, *_ in sized:
+        r = ratio[e.path]
+        total += r
+        while e is not None:
+            if e.hint:
+                held[id(e)] = (e, held.get(id(e), (e, 0.0))[1] + r)
+            e = e.parent
+    for e, weight in held.values():
+        e.hint = weight < LARGE * total
+
+
 def menu(e: Element, paths: dict[str, list[int]]) -> bool:
     """Whether the path is one of repeated links in a list, short and without punctuation."""
     n, p, c = paths.get(e.path, (0, 0, 0))

@@ -115,6 +115,23 @@ def test_main_text(article, expected):
     assert main_text(PAGE.format(article)) == expected
 
 
+BODY = "<p>Long text with words, and points. Many of them, here.</p><p>More of it, and more.</p>"
+PLAIN = "Long text with words, and points. Many of them, here. More of it, and more."
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "has-header", "widget", "comments"])
+def test_html_hint_on_what_holds_the_article(name):
+    assert main_text(f'<body><div class="{name}"><article>{BODY}</article></div><div class="ad">Buy, now.</div></body>') == PLAIN
+    assert main_text(f'<body><div class="{name}"><div>{BODY}</div></div><div class="ad">Buy, now.</div></body>') == PLAIN
+
+
+@pytest.mark.parametrize("mark", ['id="discussion"', 'id="legal-status"', 'id="search-algorithms"', 'class="share-price"'])
+def test_html_hint_on_a_section_of_the_article(mark):
+    assert main_text(f'<article><h1 {mark}>Head</h1>{BODY}<section {mark}>{BODY}</section></article>') == f"Head {PLAIN} {PLAIN}"
+    page = f'<article>{BODY}{BODY}<div class="related-posts"><p>Other, too.</p></div><div id="comments"><p>Nice, really.</p></div></article>'
+    assert main_text(page) == f"{PLAIN} {PLAIN}"
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "plain < text"), (5, "u", "<p>" + "word, " * 50000)], "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in extract(df).collect()}
