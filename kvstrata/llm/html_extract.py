@@ -5,9 +5,10 @@ headers, footers, asides, forms, scripts) are left out with all they hold. Over
 punctuation are summed per tag path; a node's ratio is its path's mean text length times its mean punctuation, smoothed
 over neighbouring nodes, and nodes at or over the page's threshold are content. A class, id or role that speaks against an
 element only lowers the ratios of what it holds, and not where it is or holds an article or a large share of the page; its
-nodes have paths of their own and stay if they still reach the threshold. The article
-is the smallest element that holds nearly all the content's weight (an article or main element where there is one); its
-other paths stay, unless they are runs of links without punctuation.
+nodes have paths of their own and stay if they still reach the threshold, but don't tell where the article is. All
+of them are returned with the nodes between them, bounded only by an article or main element (or several together) that
+holds all or nearly all their weight; without one, the smallest element with most of the weight stays whole besides. Its
+other paths stay, unless they are runs of links without punctuation, and so does the heading before the first node.
 
 Defined cases: null html is empty text; text outside any tag counts as the body's; unclosed elements end with their
 parent; nothing is cut from long pages; repeated rows and null ids give a row each; an empty table gives no rows.
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,9 +52,12 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 NEAR_ALL = 0.8
+NEARLY_ALL = 0.95
 #: A hint multiplies ratios by LOWERED, unless its element holds LARGE of the page's ratio weight.
 LOWERED = 0.2
 LARGE = 0.5
+#: The same share on a page that has an article or main element outside it.
+LARGE_BESIDE = 0.9
 
 
 class Element:
@@ -65,6 +70,18 @@ class Element:
         self.link = tag == "a" or bool(parent and parent.link)
         self.hint, self.inside = hint, main or bool(parent and parent.inside)
 
+    def within(self, tops: list[Element]) -> bool:
+        e: Element | None = self
+        while e is not None and e not in tops:
+            e = e.parent
+        return e is not None
+
+    def under(self, tags: Collection[str]) -> bool:
+        e: Element | None = self
+        while e is not None and e.tag not in tags:
+            e = e.parent
+        return e is not None
+
     def lowered(self) -> bool:
         e: Element | None = self
         while e is not None and not e.hint:
@@ -147,45 +164,79 @@ def main_text(page: str | None) -> str:
     sized = [(e, len("".join(t.split())), len(PUNCTUATION.findall(t))) for e, t, _ in nodes]
     if not any(n for _, n, _ in sized):
         return ""
-    sized = [x for x in sized if x[1]]
+    at = [k for k, x in enumerate(sized) if x[1]]
+    sized = [sized[k] for k in at]
     keep_large(sized)
     low = {id(e): e.lowered() for e, *_ in sized}
-    plain = [x for x in sized if not low[id(x[0])]]
-    paths, hints = sums(plain), sums([x for x in sized if low[id(x[0])]])
+    paths, hints = sums([x for x in sized if not low[id(x[0])]]), sums([x for x in sized if low[id(x[0])]])
     ratio = ratios(paths)
-    full = [(e, n, ratio[e.path]) for e, n, _ in plain]
-    smooth = [(e, n, (r + sum(x[2] for x in full[max(0, i - 1) : i + 2])) / (1 + len(full[max(0, i - 1) : i + 2]))) for i, (e, n, r) in enumerate(full)]
+    full = [ratio[e.path] for e, *_ in sized if not low[id(e)]]
+    smooth = [(r + sum(full[max(0, i - 1) : i + 2])) / (1 + len(full[max(0, i - 1) : i + 2])) for i, r in enumerate(full)]
     below = {k: LOWERED * r for k, r in ratios(hints).items()}
-    smooth += [(e, n, below[e.path]) for e, n, _ in sized if low[id(e)]]
-    threshold = sum(r for *_, r in smooth[: len(full)] or smooth) / len(full or smooth) / 2
-    passed = {id(e) for e, _, r in smooth if r >= threshold}
+    threshold = sum(smooth or below.values()) / len(smooth or below) / 2
+    plain = iter(smooth)
+    passed = [(below[e.path] if low[id(e)] else next(plain)) >= threshold for e, *_ in sized]
+    tops, only = article(sized, [yes and not low[id(e)] for (e, *_), yes in zip(sized, passed, strict=True)] if smooth else passed)
+    lead = [k for k, (e, *_) in enumerate(sized) if (passed[k] and not only or e.within(tops)) and not (low[id(e)] and not passed[k] or e.link and menu(e, paths))]
+    first, last = (lead[0], lead[-1]) if lead else (0, -1)
+    first = heading(sized, low, first)
+    content = {nodes[at[k]][2] for k in range(len(sized)) if passed[k]}
+    parts, was = [], None
+    for k in range(at[first], at[last] + 1) if lead else ():
+        e, t, block = nodes[k]
+        if e.link and menu(e, paths):
+            continue
+        if t.strip():
+            i = bisect_left(at, k)
+            if low[id(e)] and not passed[i] or not (e.within(tops) or i < lead[0]) and (only or e.link and block not in content):
+                continue
+        elif only and k > at[lead[0]] and not e.within(tops):
+            continue
+        parts.append(t if block == was else " " + t)
+        was = block
+    return " ".join("".join(parts).split())
+
+
+def article(sized: list[tuple[Element, int, int]], passed: list[bool]) -> tuple[list[Element], bool]:
+    """The elements that stay with all their paths, and whether nothing outside them is content."""
     total = 0.0
     elements: dict[int, Element] = {}
-    for e, n, r in smooth:
-        if r >= threshold:
+    for (e, n, _), yes in zip(sized, passed, strict=True):
+        if yes:
             total += n
             while e is not None:
                 e.weight += n
                 elements[id(e)] = e
                 e = e.parent
     mains = [e for e in elements.values() if e.main]
-    holds = [e for e in mains if e.weight >= NEAR_ALL * total] or ([max(mains, key=lambda e: e.weight)] if mains else [e for e in elements.values() if e.weight >= NEAR_ALL * total])
-    article = max(holds, key=lambda e: e.path.count("/"))
-    if not article.main:
-        while article.parent is not None and article.tag not in BLOCK:
-            article = article.parent
-        if article.parent is not None and article.tag not in ("div", "section", "td"):
-            article = article.parent
-    parts, last = [], None
-    for e, t, block in nodes:
-        up = e
-        while up is not None and up is not article:
-            up = up.parent
-        if up is None or e.link and menu(e, paths) or low.get(id(e)) and id(e) not in passed:
-            continue
-        parts.append(t if block == last else " " + t)
-        last = block
-    return " ".join("".join(parts).split())
+    holds = [e for e in mains if e.weight == total] or [e for e in mains if e.weight >= NEARLY_ALL * total]
+    if holds:
+        return [max(holds, key=lambda e: e.path.count("/"))], True
+    outer = [e for e in mains if not e.parent.inside]
+    if outer and sum(e.weight for e in outer) >= NEARLY_ALL * total:
+        return outer, False
+    top = max((e for e in elements.values() if e.weight >= NEAR_ALL * total), key=lambda e: e.path.count("/"))
+    if not top.main:
+        while top.parent is not None and top.tag not in BLOCK:
+            top = top.parent
+        if top.parent is not None and top.tag not in ("div", "section", "td"):
+            top = top.parent
+    return [top], False
+
+
+def heading(sized: list[tuple[Element, int, int]], low: dict[int, bool], first: int) -> int:
+    """Where the heading before the first node begins, if no link stands between them; else `first`."""
+    under = [e.under(HEADINGS) for e, *_ in sized[: first + 1]]
+    k = first - 1
+    if sized[first][0].under(("h1",)):
+        return first
+    while k >= 0 and not under[k] and not sized[k][0].link and not low[id(sized[k][0])]:
+        k -= 1
+    if k < 0 or not under[k] or low[id(sized[k][0])]:
+        return first
+    while k > 0 and under[k - 1] and not low[id(sized[k - 1][0])]:
+        k -= 1
+    return k
 
 
 def sums(sized: list[tuple[Element, int, int]]) -> dict[str, list[int]]:
@@ -205,16 +256,17 @@ def ratios(paths: dict[str, list[int]]) -> dict[str, float]:
 
 def keep_large(sized: list[tuple[Element, int, int]]) -> None:
     """Takes the hint from elements that hold a large share of the page's ratio weight."""
-    ratio, total, held = ratios(sums(sized)), 0.0, {}
+    ratio, total, held, mains = ratios(sums(sized)), 0.0, {}, 0.0
     for e, *_ in sized:
         r = ratio[e.path]
         total += r
+        mains += r if e.inside and not e.lowered() else 0
         while e is not None:
             if e.hint:
                 held[id(e)] = (e, held.get(id(e), (e, 0.0))[1] + r)
             e = e.parent
     for e, weight in held.values():
-        e.hint = weight < LARGE * total
+        e.hint = weight < (LARGE_BESIDE if mains and not e.inside else LARGE) * total
 
 
 def menu(e: Element, paths: dict[str, list[int]]) -> bool:

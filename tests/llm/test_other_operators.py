@@ -132,6 +132,24 @@ def test_html_hint_on_a_section_of_the_article(mark):
     assert main_text(page) == f"{PLAIN} {PLAIN}"
 
 
+LONG = "Words of the text, and more of them; it goes on. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<body><h1>Head</h1><div class=lead><p>{LONG}</p></div><div class=body>{f'<p>{LONG}</p>' * 6}</div></body>", "Head " + LONG * 7),
+        (f"<body>{f'<article>{f"<p>{LONG}</p>" * 3}</article>'}<article>{f'<p>{LONG}</p>' * 2}</article></body>", LONG * 5),
+        (f"<body><div><h1>Head</h1>{f'<p>{LONG}</p>' * 6}</div><article><p>{LONG[:150]}</p></article></body>", "Head " + LONG * 6 + LONG[:150]),
+        (f"<main><h1>Head</h1><p>{LONG}</p><div itemprop=articleBody>{f'<p>{LONG}</p>' * 6}</div></main>", "Head " + LONG * 7),
+        (f"<main><h1>Head</h1><p>By X</p><div itemprop=articleBody>{f'<p>{LONG}</p>' * 6}</div></main>", "Head By X " + LONG * 6),
+        (f"<div><p>{LONG}</p>{f'<p>{LONG}</p>' * 6}<ul><li>a</li><li>b</li></ul></div>", LONG * 7 + "a b"),
+    ],
+)
+def test_html_returns_all_content(page, expected):
+    assert main_text(page) == expected.strip()
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "plain < text"), (5, "u", "<p>" + "word, " * 50000)], "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in extract(df).collect()}
