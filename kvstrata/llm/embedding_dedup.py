@@ -2,13 +2,13 @@
 
 Centroids are fitted on a bounded sample of SAMPLE rows (the smallest hashes of ids); its dense spots become centroids of
 their own. Every row is then assigned: to the cell of its nearest centroid, its home, and as a guest to each cell whose
-border is nearer than a linked vector can be expected to lie: GUEST_SIGMAS deviations of a random direction at the limit's
-angle. Blocks of bounded size of a cell's rows are multiplied with blocks of its home rows. Rows within half the limit's
+border is nearer than half the distance of two vectors at the limit's angle. Blocks of bounded size of a cell's rows are multiplied with blocks of its home rows. Rows within half the limit's
 angle of the centroid are all linked with each other, so they are counted without being multiplied; that keeps a cell
 with a large share of all rows linear. Counts are summed by id, blocks give spanning links, and groups are their components.
 
-A pair is linked only if its own cosine in double precision reaches the limit; a linked pair is missed only if both ends
-lie beyond each other's guest margin (tests measure the recall against brute force).
+A pair is linked only if its own cosine in double precision reaches the limit, and no linked pair is missed: for ends x, y
+with homes i, j the gaps x.(ci - cj) and y.(cj - ci) add up to at most |x - y| |ci - cj|, so one of them is within half of
+it and that end is a guest of the other's home (tests hold the links against brute force).
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link
 with nothing (a null id is kept); rows of one id aren't linked with each other and their links add up; vectors of different
@@ -32,7 +32,6 @@ from kvstrata.llm.storage import Scratch
 SAMPLE = 4096
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
-GUEST_SIGMAS = 3.0
 LIMIT = 0.93
 
 
@@ -84,7 +83,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec
 
     def margins(c: np.ndarray) -> np.ndarray:
         apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-        return apart * min(math.sqrt(2 - 2 * limit), GUEST_SIGMAS * math.sqrt(1 - limit * limit) / math.sqrt(c.shape[1]))
+        return apart * (0.5 * math.sqrt(2 - 2 * limit)) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -204,6 +204,23 @@ def test_near_vectors(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_over_many_cells(spark, monkeypatch):
+    import kvstrata.llm.embedding_dedup as module
+
+    monkeypatch.setattr(module, "CELL_ROWS", 48)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 5)) @ rng.normal(size=(5, 384)) / math.sqrt(5) + 0.1 * rng.normal(size=(3000, 384))
+    x = x.astype(np.float32)
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = (y @ y.T >= 0.93) & ~np.eye(3000, dtype=bool)
+    expected = brute.components(list(range(3000)), list(zip(*map(np.ndarray.tolist, np.nonzero(links)), strict=True)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    recall = sum(n for n, _ in got.values()) / links.sum()
+    assert got == {i: (int(links[i].sum()), expected[i]) for i in range(3000)}, f"recall {recall:.4f}"
+
+
 def test_components(spark, out):
     rng = random.Random(6)
     ids = list(range(200))
