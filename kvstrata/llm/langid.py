@@ -3,7 +3,7 @@
 Training counts hashed byte trigrams of all labelled rows by language, in one aggregation whose result is bounded by
 languages times 2**GRAM_BITS. A document is a mixture of languages over its words: a word's likelihood under a language
 is the product of its trigrams' smoothed frequencies, and EM estimates the proportions. Of the sets of its most probable
-languages, the one with the best likelihood less half a log of the number of words for each language is taken.
+languages, one to all, the one with the best likelihood less half a log of the number of words for each language is taken.
 
 Defined cases: null texts and texts without a letter are UND with score 0; with nothing to learn from, every text is; rows
 with a null id are predicted and never learned from; a null lang isn't learned from; repeated rows count each.
@@ -87,12 +87,13 @@ class Model:
         smooth = counts + SMOOTHING
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy() if langs else np.zeros((1 << GRAM_BITS, 0), np.float32)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the index of its main language, -1 without a letter byte, and that language's share."""
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the index of its main language, -1 without a letter byte, that language's share, and the shares of
+        all languages, which are above 0 for those of the chosen set only."""
         n, k = len(offsets) - 1, len(self.langs)
         at, codes = grams(data, offsets)
         if not k or not len(at):
-            return np.full(n, -1), np.zeros(n)
+            return np.full(n, -1), np.zeros(n), np.zeros((n, k))
         bound = np.searchsorted(at, offsets)
         start = np.ones(len(at), bool)
         start[1:] = np.diff(at) > 1
@@ -109,23 +110,30 @@ class Model:
         share = self.mix(rel, doc, begin, count, np.full((len(count), k), 1 / k, np.float32))
         order = np.argsort(-share, axis=1, kind="stable")
         best = np.full(len(count), -np.inf)
-        main, score = np.zeros(len(count), int), np.zeros(len(count))
-        for size in range(1, min(k, 3) + 1):
-            allowed = np.zeros_like(share)
-            np.put_along_axis(allowed, order[:, :size], 1, axis=1)
-            some = np.maximum(share, 1e-3) * allowed
+        shares = np.zeros_like(share)
+        for size in range(1, k + 1):
+            # likelihoods relative to each word's best language are 1 at most, so others can't gain from this size or a larger one
+            live = np.flatnonzero(best < -0.5 * size * np.log(count + 1))
+            if not len(live):
+                break
+            mine = np.zeros(len(count), bool)
+            mine[live] = True
+            words_of, doc_of = rel[mine[doc]], np.repeat(np.arange(len(live)), count[live])
+            start_of = np.cumsum(count[live]) - count[live]
+            allowed = np.zeros_like(share[live])
+            np.put_along_axis(allowed, order[live, :size], 1, axis=1)
+            some = np.maximum(share[live], 1e-3) * allowed
             some /= some.sum(1, keepdims=True)
             if size > 1:
-                some = self.mix(rel, doc, begin, count, some, ROUNDS // 2)
-            seen = np.log(np.maximum((rel * some[doc]).sum(1), 1e-30))
-            value = np.add.reduceat(seen.astype(np.float64), begin) - 0.5 * size * np.log(count + 1)
-            better = value > best
-            best = np.where(better, value, best)
-            main = np.where(better, some.argmax(1), main)
-            score = np.where(better, some.max(1), score)
-        out, value = np.full(n, -1), np.zeros(n)
-        out[has], value[has] = main, np.clip(score, 0, 1)
-        return out, value
+                some = self.mix(words_of, doc_of, start_of, count[live], some, ROUNDS // 2)
+            seen = np.log(np.maximum((words_of * some[doc_of]).sum(1), 1e-30))
+            value = np.add.reduceat(seen.astype(np.float64), start_of) - 0.5 * size * np.log(count[live] + 1)
+            better = value > best[live]
+            best[live[better]] = value[better]
+            shares[live[better]] = np.maximum(some, 1e-30)[better] * allowed[better]
+        out, value, sets = np.full(n, -1), np.zeros(n), np.zeros((n, k))
+        out[has], value[has], sets[has] = shares.argmax(1), np.clip(shares.max(1), 0, 1), shares
+        return out, value, sets
 
     @staticmethod
     def mix(rel: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -146,10 +154,11 @@ def learn(labelled: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The frame's columns with lang_pred and score; columns of these names are replaced."""
+    """The frame's columns with lang_pred and score, and the chosen set of languages with their shares, largest first, as
+    lang_set and lang_shares, empty for UND; columns of these names are replaced."""
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "lang_set", "lang_shares")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +167,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", 1_000_000):
                 text = part.column("text").fill_null("")
                 data, offsets = text_bytes(text)
-                which, score = model.predict(data, offsets)
+                which, score, shares = model.predict(data, offsets)
                 plain = np.add.reduceat(np.concatenate([_LETTER[data] & (data < 128), [False]]), offsets[:-1]) * (np.diff(offsets) > 0) > 0
                 for i in np.flatnonzero(~plain & (which >= 0)):
                     if not any(map(str.isalpha, text[int(i)].as_py())):
-                        which[i], score[i] = -1, 0
+                        which[i], score[i], shares[i] = -1, 0, 0
                 names = pa.array([UND if k < 0 else model.langs[k] for k in which], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                line = np.argsort(-shares, axis=1, kind="stable")
+                ranked = np.take_along_axis(shares, line, 1)
+                ends = pa.array(np.concatenate([[0], np.cumsum((ranked > 0).sum(1))]).astype(np.int32))
+                langs = pa.ListArray.from_arrays(ends, pa.array(np.array(model.langs, object)[line[ranked > 0]], pa.string()))
+                parts = pa.ListArray.from_arrays(ends, pa.array(ranked[ranked > 0], pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(score, pa.float64()), langs, parts], names=[*part.schema.names, "lang_pred", "score", "lang_set", "lang_shares"])
+
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_set", T.ArrayType(T.StringType())), ("lang_shares", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
     return docs.mapInArrow(run, schema)
 
 

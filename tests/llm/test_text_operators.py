@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvstrata.llm.langid import UND, identify_held_out
+from kvstrata.llm.langid import UND, identify, identify_held_out, learn
 from kvstrata.llm.minhash import REGISTERS, estimate, near_duplicates, registers
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.queries import tokenizer_file
@@ -127,6 +127,24 @@ def test_language(spark):
     assert identify_held_out(df.limit(0)).count() == 0
 
 
+def test_language_sets_of_any_size(spark):
+    rng = random.Random(10)
+    syllables = {"en": "the and ing tion er".split(), "fr": "é eau que ment è".split(), "de": "sch ein ung ü keit".split(), "es": "ción ñ os ll ado".split(), "pl": "szcz rzy ł wie ów".split()}
+    words = lambda lang, n: ["".join(rng.choices(syllables[lang], k=3)) for _ in range(n)]
+    model = learn(spark.createDataFrame([(" ".join(words(lang, 40)), lang) for lang in syllables for _ in range(20)], "text string, lang string"))
+    sets = [("en", "fr", "de", "es", "pl"), ("en", "fr", "de", "es"), ("fr", "de"), ("pl",), ()]
+    mixed = []
+    for i, langs in enumerate(sets):
+        text = [w for lang in langs for w in words(lang, 60)]
+        rng.shuffle(text)
+        mixed.append((i, " ".join(text)))
+    for r in identify(spark.createDataFrame(mixed, "doc_id bigint, text string"), model).collect():
+        langs = sets[r.doc_id]
+        assert set(r.lang_set) == set(langs) and len(r.lang_set) == len(langs) == len(r.lang_shares)
+        assert all(abs(x - 1 / len(langs)) < 0.05 for x in r.lang_shares) and r.lang_shares == sorted(r.lang_shares, reverse=True)
+        assert (r.lang_pred, r.score) == ((r.lang_set[0], r.lang_shares[0]) if langs else (UND, 0))
+
+
 def test_pipeline_stages(spark, out):
     from pathlib import Path
 
