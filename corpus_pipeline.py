@@ -20,9 +20,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns languages from the labelled documents that aren't held out; documents in none of them (no text, no letter) go."""
-    model = learn(docs.where(~held_out()).select("text", "lang"))
-    return identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UND).select(*COLUMNS)
+    """Learns languages from the labelled documents that aren't held out; documents in none of them (no text, no letter, too unlikely for each) go."""
+    model = learn(docs.where(~held_out()).select("text", "lang"), floors=True)
+    return identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != UND) & F.col("lang_fits")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ UND = "und"
 GRAM_BITS = 15
 SMOOTHING = 0.5
 ROUNDS = 12
+#: Floors lie so many deviations below the mean, and as many of a mean over letters of which RUN vary together.
+FLOOR_SIGMAS = 3.0
+RUN = 16
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
@@ -85,15 +88,31 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         smooth = counts + SMOOTHING
+        self.letter, self.document = np.full((2, 2, len(langs)), [[[-np.inf]], [[0.0]]])
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy() if langs else np.zeros((1 << GRAM_BITS, 0), np.float32)
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text the index of its main language, -1 without a letter byte, that language's share, and the shares of
-        all languages, which are above 0 for those of the chosen set only."""
+    def learn_floors(self, counts: np.ndarray, documents: np.ndarray) -> None:
+        """Mean and deviation of a letter's log likelihood by language over all training rows' trigrams, and of a document's
+        mean over its letters, from (number, sum, sum of squares) by language."""
+        share = counts / counts.sum(1, keepdims=True)
+        n = np.maximum(documents[:, :1], 1)
+        for at, (mean, square) in ((self.letter, ((share * self.log.T).sum(1), (share * self.log.T.astype(np.float64) ** 2).sum(1))), (self.document, (documents[:, 1:] / n).T)):
+            at[:] = mean, np.sqrt(np.maximum(0, square - mean**2))
+
+    def floor(self, letters: np.ndarray) -> np.ndarray:
+        """For texts of so many letters and each language the mean log likelihood of a letter below which they aren't of it:
+        below what both letters and documents of the training rows show, with more room for short texts."""
+        wide = FLOOR_SIGMAS * (1 + np.sqrt(RUN / np.maximum(letters, 1)))[:, None]
+        return np.minimum(self.letter[0] - wide * self.letter[1], self.document[0] - wide * self.document[1])
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the index of its main language, -1 without a letter byte, that language's share, the shares of all
+        languages, which are above 0 for those of the chosen set only, and whether its penalised likelihood a letter reaches
+        the floor of a language of the set."""
         n, k = len(offsets) - 1, len(self.langs)
         at, codes = grams(data, offsets)
         if not k or not len(at):
-            return np.full(n, -1), np.zeros(n), np.zeros((n, k))
+            return np.full(n, -1), np.zeros(n), np.zeros((n, k)), np.zeros(n, bool)
         bound = np.searchsorted(at, offsets)
         start = np.ones(len(at), bool)
         start[1:] = np.diff(at) > 1
@@ -133,7 +152,12 @@ class Model:
             shares[live[better]] = np.maximum(some, 1e-30)[better] * allowed[better]
         out, value, sets = np.full(n, -1), np.zeros(n), np.zeros((n, k))
         out[has], value[has], sets[has] = shares.argmax(1), np.clip(shares.max(1), 0, 1), shares
-        return out, value, sets
+        letters = np.diff(bound)[has]
+        # the training documents' means have no penalty, so that of one language isn't counted; 1e-3 is for single precision
+        reached = ((np.add.reduceat(top[:, 0].astype(np.float64), begin) + best + 0.5 * np.log(count + 1)) / letters)[:, None] + 1e-3
+        fits = np.zeros(n, bool)
+        fits[has] = ((reached >= self.floor(letters)) & (shares > 0)).any(1)
+        return out, value, sets, fits
 
     @staticmethod
     def mix(rel: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -144,21 +168,55 @@ class Model:
         return share
 
 
-def learn(labelled: DataFrame) -> Model:
-    """A model of all rows of (text, lang) that have both."""
-    found = gram_counts(labelled.where("text IS NOT NULL AND lang IS NOT NULL")).toPandas()
+def learn(labelled: DataFrame, floors: bool = False) -> Model:
+    """A model of all rows of (text, lang) that have both; `floors`: with what tells texts of no learned language."""
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    found = gram_counts(labelled).toPandas()
     langs = sorted(found["lang"].unique().tolist())
     counts = np.zeros((len(langs), 1 << GRAM_BITS))
     counts[np.searchsorted(langs, found["lang"].to_numpy(dtype=object)) if langs else [], found["gram"].to_numpy()] = found["n"]
-    return Model(langs, counts)
+    model = Model(langs, counts)
+    if floors and langs:
+        documents = np.zeros((len(langs), 3))
+        for lang, *sums in document_sums(labelled, model).collect():
+            documents[langs.index(lang)] = sums
+        model.learn_floors(counts, documents)
+    return model
+
+
+def document_sums(labelled: DataFrame, model: Model) -> DataFrame:
+    """(lang, n, total, squares) of the mean log likelihood of a letter under the label, over all rows of (text, lang) with letters."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        total = np.zeros((len(model.langs), 3))
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                data, offsets = text_bytes(part.column("text"))
+                at, codes = grams(data, offsets)
+                bound = np.searchsorted(at, offsets)
+                has = np.diff(bound) > 0
+                if not has.any():
+                    continue
+                place = {lang: k for k, lang in enumerate(model.langs)}
+                label = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()])[has]
+                letters = np.diff(bound)[has]
+                mean = np.add.reduceat(model.log[codes, np.repeat(label, letters)].astype(np.float64), bound[:-1][has]) / letters
+                np.add.at(total, label, np.stack([np.ones(len(mean)), mean, mean**2], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(model.langs, pa.string()), *map(pa.array, total.T.copy())], names=["lang", "n", "total", "squares"])
+
+    each = labelled.select("text", "lang").mapInArrow(run, "lang string, n double, total double, squares double")
+    return each.groupBy("lang").agg(F.sum("n"), F.sum("total"), F.sum("squares"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The frame's columns with lang_pred and score, and the chosen set of languages with their shares, largest first, as
-    lang_set and lang_shares, empty for UND; columns of these names are replaced."""
+    lang_set and lang_shares, empty for UND, and lang_fits, false for UND and for texts too unlikely for any language of a
+    model that has floors; columns of these names are replaced."""
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("lang_pred", "score", "lang_set", "lang_shares")
+    docs = docs.drop("lang_pred", "score", "lang_set", "lang_shares", "lang_fits")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,20 +225,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", 1_000_000):
                 text = part.column("text").fill_null("")
                 data, offsets = text_bytes(text)
-                which, score, shares = model.predict(data, offsets)
+                which, score, shares, fits = model.predict(data, offsets)
                 plain = np.add.reduceat(np.concatenate([_LETTER[data] & (data < 128), [False]]), offsets[:-1]) * (np.diff(offsets) > 0) > 0
                 for i in np.flatnonzero(~plain & (which >= 0)):
                     if not any(map(str.isalpha, text[int(i)].as_py())):
-                        which[i], score[i], shares[i] = -1, 0, 0
+                        which[i], score[i], shares[i], fits[i] = -1, 0, 0, False
                 names = pa.array([UND if k < 0 else model.langs[k] for k in which], pa.string())
                 line = np.argsort(-shares, axis=1, kind="stable")
                 ranked = np.take_along_axis(shares, line, 1)
                 ends = pa.array(np.concatenate([[0], np.cumsum((ranked > 0).sum(1))]).astype(np.int32))
                 langs = pa.ListArray.from_arrays(ends, pa.array(np.array(model.langs, object)[line[ranked > 0]], pa.string()))
                 parts = pa.ListArray.from_arrays(ends, pa.array(ranked[ranked > 0], pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(score, pa.float64()), langs, parts], names=[*part.schema.names, "lang_pred", "score", "lang_set", "lang_shares"])
+                yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(score, pa.float64()), langs, parts, pa.array(fits)], names=[*part.schema.names, "lang_pred", "score", "lang_set", "lang_shares", "lang_fits"])
 
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_set", T.ArrayType(T.StringType())), ("lang_shares", T.ArrayType(T.DoubleType()))]
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_set", T.ArrayType(T.StringType())), ("lang_shares", T.ArrayType(T.DoubleType())), ("lang_fits", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
     return docs.mapInArrow(run, schema)
 

@@ -145,6 +145,20 @@ def test_language_sets_of_any_size(spark):
         assert (r.lang_pred, r.score) == ((r.lang_set[0], r.lang_shares[0]) if langs else (UND, 0))
 
 
+def test_pipeline_drops_texts_of_no_learned_language(spark, out):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    syllables = {"en": "the and ing tion er".split(), "fr": "é eau que ment è".split(), "de": "sch ein ung ü keit".split()}
+    docs = []
+    for i in range(300):
+        lang = rng.choice(sorted(syllables))
+        docs.append((i, " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(rng.randrange(2, 60))), lang))
+    odd = ["これは日本語の文章です。" * 3, "Это русский текст, его здесь никто не учил", "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)), " ".join("".join(rng.choices("bcdfgjkmpqvwxyz", k=7)) for _ in range(40))]
+    rows = [(i, t, la, "s", len(t)) for i, t, la in docs + [(1000 + k, t, None) for k, t in enumerate(odd)]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, df, out).collect()} == {i for i, *_ in docs}
+
+
 def test_pipeline_stages(spark, out):
     from pathlib import Path
 
