@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample of SAMPLE rows (the smallest hashes of ids); its dense spots become centroids of
 their own. Every row is then assigned: to the cell of its nearest centroid, its home, and as a guest to each cell whose
 border is nearer than half the distance of two vectors at the limit's angle. Blocks of bounded size of a cell's rows are multiplied with blocks of its home rows. Rows within half the limit's
-angle of the centroid are all linked with each other, so they are counted without being multiplied; that keeps a cell
+angle of the centroid are all linked with each other, so they are counted without being multiplied, less those of their own id; that keeps a cell
 with a large share of all rows linear. Counts are summed by id, blocks give spanning links, and groups are their components.
 
 A pair is linked only if its own cosine in double precision reaches the limit, and no linked pair is missed: for ends x, y
@@ -137,7 +137,8 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec
     keys = ["label", "cell", "l", "r"]
     found = scratch.keep(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "id bigint, n bigint, root bigint"))
     cores = placed.where(at_home & F.col("core")).join(cells.select("label", "cell", "cores", "core_id"), ["label", "cell"])
-    cores = cores.select("id", (F.col("cores") - 1).alias("n"), F.col("core_id").alias("root"))
+    cores = cores.groupBy("label", "cell", "id").agg(F.count("*").alias("own"), F.min("cores").alias("cores"), F.min("core_id").alias("root"))
+    cores = cores.select("id", (F.col("own") * (F.col("cores") - F.col("own"))).alias("n"), "root")
     found = found.unionByName(cores)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = connected_components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")), scratch)

@@ -221,6 +221,16 @@ def test_near_vectors_over_many_cells(spark, monkeypatch):
     assert got == {i: (int(links[i].sum()), expected[i]) for i in range(3000)}, f"recall {recall:.4f}"
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    spot = rng.normal(size=24)
+    rows = [(i % 40, (spot + 0.03 * rng.normal(size=24)).tolist(), 1) for i in range(100)] + [(50 + i, rng.normal(size=24).tolist(), 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    own = [sum(i % 40 == k for i in range(100)) for k in range(40)]
+    got = {r.vec_id: r.n_links for r in near_duplicates(df).collect()}
+    assert got == {k: own[k] * (100 - own[k]) for k in range(40)} | {50 + i: 0 for i in range(20)}
+
+
 def test_components(spark, out):
     rng = random.Random(6)
     ids = list(range(200))
