@@ -10,7 +10,8 @@ Exact for every k: a leaf is left out only if its bound is below the kth score a
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part as query or candidate, nor do
 rows with a null id; the candidates of a query are all rows with another id; repeated rows are candidates each; vectors of
-other lengths than the query's score with it over the components both have; an empty table gives no rows.
+other lengths than the query's score with it over the components both have; an empty table gives no rows. A finite
+component of absolute value 2**40 or more raises an error, as its scores can be beyond a bigint.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 LEAF_ROWS = 128
 SCALE = 256
+LARGEST = float(1 << 40)
 
 
 def scaled(vector: str):
     """floor(SCALE * x) of each component, null where the vector takes no part. NaN and infinities fail the comparison."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float(1 << 40))))
-    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("bigint")))
+    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(math.inf)))
+    large = F.raise_error(F.lit("a component's absolute value is 2**40 or more; its scores aren't sure to fit")).cast("bigint")
+    whole = F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) >= F.lit(LARGEST), large).otherwise(F.floor(x.cast("double") * SCALE).cast("bigint")))
+    return F.when(F.coalesce(fine, F.lit(False)), whole)
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

@@ -175,6 +175,14 @@ def test_top_k(spark):
     assert top_k(few, few).count() == 6
 
 
+def test_top_k_drops_no_large_component(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [float(1 << 39), 0.0]), (3, [-float(1 << 40), 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*40"):
+        top_k(df, df.where("vec_id = 0")).collect()
+    few = df.where("vec_id <> 3")
+    assert {(r.query_id, r.vec_id, r.score) for r in top_k(few, few).collect()} == {(0, 50, 1 << 55), (50, 0, 1 << 55)}
+
+
 def test_top_k_over_many_shards(spark, monkeypatch):
     import kvstrata.llm.topk as module
 
