@@ -5,7 +5,8 @@ Whole 2048-token windows are cut off long documents; what remains of a document
 context size that holds it. Windows of each tier are opened by that tier's pieces, and their gaps are filled with the
 largest pieces of shorter tiers that fit; a gap that none fits is filled by cutting a piece, the rest of which goes back
 to its tier. Full windows have a power-of-two length and no padding; only what is left at the end of a task can leave one
-padded window. Windows of one tier are dealt to step groups of equal token counts.
+padded window. Windows of one tier are dealt to step groups inside each task: all hold
+step_tokens tokens but the last of each tier of a task, which holds what is left, one window or more.
 
 Defined cases: a null or empty text has one token, the end id; a row with a null id is packed like any other (its id
 stays null); repeated rows are packed each; an empty table gives no pieces; columns other than id and text are ignored.
@@ -181,7 +182,7 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID) -> DataFrame:
     """Rows of SCHEMA, one per piece: `ids` are the piece's token ids as little-endian unsigned 32-bit bytes, `offset` its
     place in sequence `sequence_id`, `context` the window length of that sequence's tier, `step_group` windows of one tier
-    with together step_tokens tokens. Sequence ids follow the input's partitions, so the same files give the same ids."""
+    and task with together step_tokens tokens, or fewer in the task's last group of the tier. Sequence ids follow the input's partitions, so the same files give the same ids."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
