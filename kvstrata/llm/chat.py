@@ -1,15 +1,17 @@
 r"""Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole, tokenised once with offsets, and the sorted spans of its assistant texts are intersected
-with the token spans by binary search. A token that only touches a span counts for the part inside it, so the characters
-under the mask are exactly the assistant texts.
+with the token spans by binary search. The control strings are tokens of their own, added to the tokeniser's, so no token
+crosses the border of a text: the ids under the mask decode to exactly the assistant texts, which read_back() gets from
+them and from nothing else.
 
 Template: each turn is BEGIN role TEXT text END. Control strings start with "<", and inside roles and texts a backslash is
 written as two and "<" as backslash-l, so no control string (of this template or of a tokeniser's "<|...|>" kind) can occur
 there, and the writing is undone exactly.
 
 Defined cases: a null text or role is empty; turns go by turn (null first), then role, then text; repeated rows are turns
-each; rows with a null conv_id are one conversation with that id; an empty table gives no rows; other columns are ignored.
+each; rows with a null conv_id are one conversation with that id; very long texts and conversations are formatted whole, as
+one row is a conversation's unit; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from kvstrata.llm.storage import ship_package
 
 BEGIN, TEXT, END = "<turn>", "<text>", "</turn>\n"
 LEARNED_ROLE = "assistant"
-SCHEMA = "conv_id bigint, formatted string, ids array<int>, mask array<boolean>, loss_begins array<int>, loss_ends array<int>"
+SCHEMA = "conv_id bigint, formatted string, ids array<int>, mask array<boolean>"
 
 
 def escape(text: str) -> str:
@@ -57,23 +59,13 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role.removeprefix(BEGIN)), unescape(text)) for role, text in turns]
 
 
-def intersect(tokens: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the sorted token spans meet one of the sorted, disjoint spans, and the parts of spans that tokens cover, in order."""
-    mask = np.zeros(len(tokens), bool)
-    begins, ends = [], []
-    for a, b in spans:
-        if a == b or not len(tokens):
-            continue
-        i, j = np.searchsorted(tokens[:, 1], a, "right"), np.searchsorted(tokens[:, 0], b, "left")
-        mask[i:j] = True
-        for x, y in tokens[i:j].tolist():  # pieces of one character share its span
-            x, y = max(x, a), min(y, b)
-            if ends and begins[-1] <= x <= ends[-1] and ends[-1] > a:
-                ends[-1] = max(ends[-1], y)
-            else:
-                begins.append(x)
-                ends.append(y)
-    return mask, np.array(begins, np.int32), np.array(ends, np.int32)
+def intersect(tokens: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the sorted token spans meet one of the sorted, disjoint spans. Pieces of one character share its span."""
+    edge = np.zeros(len(tokens) + 1, np.int64)
+    some = np.array([s for s in spans if s[0] < s[1]], np.int64).reshape(-1, 2)
+    np.add.at(edge, np.searchsorted(tokens[:, 1], some[:, 0], "right"), 1)
+    np.add.at(edge, np.searchsorted(tokens[:, 0], some[:, 1], "left"), -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 @lru_cache(2)
@@ -81,14 +73,16 @@ def tokenizer(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import AddedToken, Tokenizer
 
-    return Tokenizer.from_file(path)
+    bpe = Tokenizer.from_file(path)
+    bpe.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in (BEGIN, TEXT, END)])
+    return bpe
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Rows of SCHEMA, one per conversation of (conv_id, turn, role, text): the formatted text, its token ids, the loss mask
-    over them, and what the mask covers as spans of code points of the formatted text, in order."""
+    """Rows of SCHEMA, one per conversation of (conv_id, turn, role, text): the formatted text, its token ids (control strings
+    have the ids after the tokeniser's own, in the order BEGIN, TEXT, END) and the loss mask over them."""
     ship_package(turns.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -103,27 +97,29 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
                 encoded = bpe.encode_batch([f for f, _ in done], add_special_tokens=False)
                 met = [intersect(np.array(e.offsets, np.int64).reshape(-1, 2), s) for e, (_, s) in zip(encoded, done, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), pa.array([f for f, _ in done], pa.string()), pa.array([e.ids for e in encoded], pa.list_(pa.int32())), *(pa.array([m[i] for m in met], pa.list_(t)) for i, t in enumerate((pa.bool_(), pa.int32(), pa.int32())))],
-                    names=["conv_id", "formatted", "ids", "mask", "loss_begins", "loss_ends"],
+                    [part.column("conv_id"), pa.array([f for f, _ in done], pa.string()), pa.array([e.ids for e in encoded], pa.list_(pa.int32())), pa.array(met, pa.list_(pa.bool_()))],
+                    names=["conv_id", "formatted", "ids", "mask"],
                 )
 
     return whole.mapInArrow(run, SCHEMA)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     """From format_conversations' rows alone: conv_id, n_turns, turns (role, newline, text, newline for each turn, joined),
-    loss_text (all text under the loss mask, as it was before escaping) and formatted_chars."""
+    loss_text (what the ids under the loss mask decode to, as it was before escaping) and formatted_chars."""
     ship_package(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "formatted"):
                 texts = part.column("formatted").to_pylist()
                 turns = [parse(t) for t in texts]
-                loss = [unescape("".join(t[x:y] for x, y in zip(a, b, strict=True))) for t, a, b in zip(texts, part.column("loss_begins").to_pylist(), part.column("loss_ends").to_pylist(), strict=True)]
+                masked = [ids.values.to_numpy()[m.values.to_numpy(zero_copy_only=False)].tolist() for ids, m in zip(part.column("ids"), part.column("mask"), strict=True)]
+                loss = map(unescape, bpe.decode_batch(masked, skip_special_tokens=False))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("conv_id"), pa.array([len(t) for t in turns], pa.int64()), pa.array(["".join(f"{r}\n{x}\n" for r, x in t) for t in turns], pa.string()), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["conv_id", "n_turns", "turns", "loss_text", "formatted_chars"],
                 )
 
-    return formatted.select("conv_id", "formatted", "loss_begins", "loss_ends").mapInArrow(run, "conv_id bigint, n_turns bigint, turns string, loss_text string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "ids", "mask").mapInArrow(run, "conv_id bigint, n_turns bigint, turns string, loss_text string, formatted_chars bigint")

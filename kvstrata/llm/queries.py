@@ -48,7 +48,8 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
-    back = read_back(format_conversations(turns, tokenizer_file("byte_bpe_50k.json")))
+    bpe = tokenizer_file("byte_bpe_50k.json")
+    back = read_back(format_conversations(turns, bpe), bpe)
     return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
