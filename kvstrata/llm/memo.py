@@ -1,4 +1,4 @@
-"""A bounded per-process memo from text chunks to their encoded ids."""
+"""A bounded per-process memo from text chunks to their encoded ids, and readers of batches in parts."""
 
 from __future__ import annotations
 
@@ -31,3 +31,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterab
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def runs(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterable[tuple[tuple, pa.RecordBatch]]:
+    """Rows with equal values (none null) in all of the columns that follow each other in a batch, with those values."""
+    for batch in batches:
+        if batch.num_rows:
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in columns:
+                x = batch.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tuple(batch.column(c)[a].as_py() for c in columns), batch.slice(a, b - a)
