@@ -1,17 +1,19 @@
 import math
 import random
+from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pytest
 
-from kvstrata.llm.chat import END, format_conversations, intersect, parse, read_back, render
+from kvstrata.llm.chat import BEGIN, END, TEXT, format_conversations, intersect, parse, read_back, render, tokenizer, unescape
 from kvstrata.llm.components import connected_components
 from kvstrata.llm.embedding_dedup import near_duplicates
 from kvstrata.llm.html_extract import extract, main_text
 from kvstrata.llm.queries import tokenizer_file
 from kvstrata.llm.sentencepiece_codec import CharMap, PieceModel, encode_documents
 from kvstrata.llm.storage import Scratch
-from kvstrata.llm.topk import top_k
+from kvstrata.llm.topk import ABSENT, MOST, Tree, laid_out, scaled, top_k
 from tests.llm import brute
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁ b", "x▁▁ y ", "\n", "a\nb", "é日本𝄞 \u0000 z", "  lead", "trail  ", "\t tab", "<s> </s> <0x41>", " x", "😀" * 5]
@@ -79,9 +81,14 @@ def test_chat_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", None, "a<b"]), rng.choice([None, "".join(rng.choices(alphabet, k=rng.randrange(9)))])) for c in range(80) for t in range(rng.randrange(1, 6))]
     rows += [(None, 0, "assistant", "no id"), (5, None, "assistant", "first"), (5, 1, "user", "again"), (5, 1, "user", "again")]
     formatted = format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3), tokenizer_file("byte_bpe_50k.json"))
+    bpe = tokenizer(tokenizer_file("byte_bpe_50k.json"))
+    control = {bpe.token_to_id(x) for x in (BEGIN, TEXT, END)}
     for r in formatted.collect():
-        assert len(r.ids) == len(r.mask)
-    back = {r.conv_id: r for r in read_back(formatted).collect()}
+        assert len(r.ids) == len(r.mask) and not any(m and i in control for i, m in zip(r.ids, r.mask, strict=True))
+        runs = [[i for i, _ in g] for m, g in groupby(zip(r.ids, r.mask, strict=True), key=lambda x: x[1]) if m]
+        assert [unescape(bpe.decode(x)) for x in runs] == [x for role, x in parse(r.formatted) if role == "assistant" and x], "each run is one whole text"
+        assert bpe.decode(r.ids, skip_special_tokens=False) == r.formatted
+    back = {r.conv_id: r for r in read_back(formatted, tokenizer_file("byte_bpe_50k.json")).collect()}
     for c in {r[0] for r in rows}:
         turns = sorted(((t is not None, t, role or "", text or "") for k, t, role, text in rows if k == c), key=lambda x: (x[0], x[1] or 0, *x[2:]))
         assert back[c].n_turns == len(turns) and back[c].turns == "".join(f"{r}\n{x}\n" for *_, r, x in turns)
@@ -89,12 +96,20 @@ def test_chat_round_trip(spark):
     assert format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").limit(0), tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
-def test_mask_is_by_whole_intersections():
+def test_mask_is_by_intersections():
     text, spans = render([("user", "q"), ("assistant", "answer"), ("assistant", "")])
     tokens = np.array([(k, min(k + 4, len(text))) for k in range(0, len(text), 4)])
-    mask, begins, ends = intersect(tokens, spans)
-    assert "".join(text[a:b] for a, b in zip(begins, ends, strict=True)) == "answer" and parse(text)[1] == ("assistant", "answer")
-    assert mask.sum() == sum(1 for a, b in tokens for x, y in spans if max(a, x) < min(b, y))
+    assert intersect(tokens, spans).tolist() == [any(max(a, x) < min(b, y) for x, y in spans) for a, b in tokens] and parse(text)[1] == ("assistant", "answer")
+    assert intersect(np.zeros((0, 2), np.int64), spans).tolist() == [] and intersect(tokens, []).sum() == 0
+
+
+def test_chat_of_odd_tables(spark):
+    bpe = tokenizer_file("byte_bpe_50k.json")
+    long = "long < text \\ " * 20000
+    rows = [(1, 0, "user", "hi", 5, "x"), (1, 1, "assistant", long, 5, "y")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, ids int, formatted string")
+    r = read_back(format_conversations(df, bpe), bpe).first()
+    assert (r.n_turns, r.loss_text, r.turns) == (2, long, f"user\nhi\nassistant\n{long}\n")
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
@@ -175,23 +190,76 @@ def test_top_k(spark):
     assert top_k(few, few).count() == 6
 
 
-def test_top_k_drops_no_large_component(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [float(1 << 39), 0.0]), (3, [-float(1 << 40), 0.0])], "vec_id bigint, embedding array<double>")
-    with pytest.raises(Exception, match="2\\*\\*40"):
-        top_k(df, df.where("vec_id = 0")).collect()
-    few = df.where("vec_id <> 3")
-    assert {(r.query_id, r.vec_id, r.score) for r in top_k(few, few).collect()} == {(0, 50, 1 << 55), (50, 0, 1 << 55)}
+def best_scores(rows, queries, k=5):
+    """{query id: [(vec_id, score)]} in whole numbers of any size; different rows of one query id are one query."""
+    out = {}
+    for q in sorted({i for i, _ in queries}):
+        asked = [v for i, v in queries if i == q]
+        scores = [(-max(sum(floor256(a) * floor256(b) for a, b in zip(v, c, strict=False)) for v in asked), i) for i, c in rows if i != q]
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def floor256(x: float) -> int:
+    return math.floor(Fraction(x) * 256)
+
+
+def found_scores(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    return {q: [found[k] for k in sorted(found)] for q, found in got.items()}
+
+
+def test_top_k_of_large_components(spark):
+    rng = random.Random(14)
+    rows = [(i, [rng.choice([0.5, 3e7 + 0.125, -3e7, float(1 << 41), -float(1 << 20), 0.0, 1e-300]) * rng.choice([1, 0.999]) for _ in range(3)]) for i in range(300)]
+    rows = [(i, [math.fmod(x, 7.3) for x in v]) if i % 50 == 0 else (i, v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert found_scores(top_k(df, df.where("vec_id % 50 = 0"))) == best_scores(rows, [r for r in rows if r[0] % 50 == 0])
+    far = spark.createDataFrame([(0, [1.0, 2.0]), (50, [1e300, 0.0]), (3, [-1e300, 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="fit a bigint"):
+        top_k(far, far.where("vec_id = 0")).collect()
+    assert found_scores(top_k(far, far.where("vec_id = 0").limit(0))) == {}
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, -1.0]), (8, [2.0, 0.0]), (7, [1.5, 3.0]), (7, [1.5, 3.0]), (6, [1.0, 1.0]), (5, [0.1, 0.2])]
+    df = spark.createDataFrame([(i, v, 9, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score int, shard string").repartition(3)
+    assert found_scores(top_k(df, df.where("vec_id % 50 = 0"))) == best_scores(rows, [r for r in rows if r[0] % 50 == 0])
+
+
+def test_top_k_of_odd_lengths(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, []), (2, [4.0]), (3, [1.0, 1.0, 1.0, 50.0]), (50, [1.0, 1.0, 1.0, 1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert found_scores(top_k(df, df.where("vec_id % 50 = 0"))) == best_scores(rows, [r for r in rows if r[0] % 50 == 0])
+    empty = spark.createDataFrame([(0, []), (1, [])], "vec_id bigint, embedding array<double>")
+    assert found_scores(top_k(empty, empty)) == {0: [(1, 0)], 1: [(0, 0)]}
 
 
 def test_top_k_over_many_shards(spark, monkeypatch):
     import kvstrata.llm.topk as module
 
     monkeypatch.setattr(module, "SHARD_ROWS", 40)
-    monkeypatch.setattr(module, "QUERY_ROWS", 3)
-    monkeypatch.setattr(module, "LEAF_ROWS", 8)
+    monkeypatch.setattr(module, "MET", (1, 3))
     test_top_k(spark)
 
 
+def test_trees_open_few_nodes():
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=(2000, 3)), np.full((2000, 3), 9.0)])
+    leaves = laid_out(scaled(x), 16)
+    order = np.concatenate(leaves)
+    tree = Tree(x[order], order, order, np.repeat(np.arange(len(leaves)), list(map(len, leaves))))
+    assert len(tree.boxes.least_id) == 2 * len(leaves) - 1 and {len(r) for r in leaves} <= {15, 16}
+    opened = []
+    tree.scores = lambda *a, f=tree.scores: opened.append(a[-1]) or f(*a)
+    s, i, _ = tree.search(x[:1], np.array([0]), 5, np.array([ABSENT]), np.array([MOST]))
+    whole = np.floor(256 * x).astype(int)
+    assert list(zip((-s[0]).tolist(), i[0].tolist(), strict=True)) == sorted((-int(whole[0] @ whole[c]), c) for c in range(1, 4000))[:5]
+    assert len(opened) < len(leaves) / 8, "boxes and ids leave most leaves out, equal vectors too"
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     rows = []
