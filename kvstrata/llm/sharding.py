@@ -1,13 +1,18 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts stand together. The driver proposes boundaries, one
+Rows are ordered by (hash of the text, hash of the id), so equal texts stand together. The driver proposes boundaries, one
 aggregation counts the exact bytes and rows below all of them, and the probes are refined between the nearest two until
-each splitter is within the tolerance of its target; then the rows are exchanged once, straight to their place. Splitters
-fall between groups of equal texts; only a group that keeps a splitter from its tolerance is itself split, by doc_id.
-A shard is a run of ranges of at most RANGE_BYTES, one task each, whose first slots the row counts give.
+each shard's splitter is within the tolerance of its target, for all splitters in the same rounds. Splitters fall between
+groups of equal texts; only a group that keeps a splitter from its tolerance is itself split. The driver holds no more
+than MOST_PROBES new boundaries a round, or seven a shard.
 
-Defined cases: a null text counts as empty and groups with nulls; a null id goes before all others of its text; rows equal
-in text and id stay together; an empty table gives no rows; a text longer than a shard makes that shard as long as it is.
+Inside a shard the ranges that tasks sort are equal parts of its hash values, RANGE_BYTES on average. A range that a large
+group of equal texts makes much longer is dealt to more ranges by id. Exact row counts of the ranges, added up in each
+shard, give their first slots, and the rows are exchanged once, to their range, where they are numbered in order.
+
+Defined cases: a null text counts as empty and groups with nulls; a null id is an id like others; rows equal in text and id
+stay together; an empty table gives no rows; a text longer than a shard makes that shard as long as it is; other columns
+stay whatever their names, but for those of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,129 +23,140 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvstrata.llm.storage import Scratch
+from kvstrata.llm.storage import Scratch, unused
 
 ROW_BYTES = 16
 RANGE_BYTES = 64 << 20
-TOLERANCE = 0.005
-MOST_PROBES = 200_000
-TOP = 1 << 64
+TOLERANCE = 0.001
+MOST_PROBES = 20_000
+HALF = 1 << 63
+TOP = 1 << 128
+#: A boundary between two text hashes: its id part is zero.
+GROUP = 1 << 64
+
+
+def halves(bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries as signed text and id hashes, in whose order they rise."""
+    return np.array([(b >> 64) - HALF for b in bounds], np.int64), np.array([(b & (GROUP - 1)) - HALF for b in bounds], np.int64)
+
 
+def below(bounds: tuple[np.ndarray, np.ndarray], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """How many of the rising boundaries are at or below each (h, g)."""
+    first, last = np.searchsorted(bounds[0], h, "left"), np.searchsorted(bounds[0], h, "right")
+    tied = np.flatnonzero(last > first)
+    if len(tied):
+        order = tied[np.argsort(first[tied], kind="stable")]
+        cuts = [0, *(np.flatnonzero(np.diff(first[order])) + 1).tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some, k = order[a:b], first[order[a]]
+            last[some] = k + np.searchsorted(bounds[1][k : last[some[0]]], g[some], "right")
+    return last
+
+
+class Known:
+    """Boundaries, rising, with the exact bytes and rows below each."""
 
-def _unsigned(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    def __init__(self, total: int, count: int):
+        self.keys, self.bytes, self.rows = [0, TOP], np.array([0, total]), np.array([0, count])
 
+    def around(self, targets: np.ndarray) -> np.ndarray:
+        """The boundary at or before each target, of which the next one is past it."""
+        return np.clip(np.searchsorted(self.bytes, targets, "right") - 1, 0, len(self.keys) - 2)
 
-def histogram(keys: DataFrame, group: int | None, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and rows whose key is less than each probe: the text hash, or the id among rows of one hash."""
-    bounds = np.array(probes, np.uint64)
+    def nearest(self, targets: np.ndarray) -> np.ndarray:
+        k = self.around(targets)
+        return k + (self.bytes[k + 1] - targets < targets - self.bytes[k])
+
+    def open(self, targets: np.ndarray, tolerance: float) -> np.ndarray:
+        """Targets from which the nearest boundary is too far, with several rows up to the next."""
+        k = self.around(targets)
+        far = np.abs(self.bytes[self.nearest(targets)] - targets) > tolerance
+        return targets[far & (self.rows[k + 1] - self.rows[k] > 1)]
+
+    def probes(self, targets: np.ndarray, step: int) -> list[int]:
+        """New boundaries, multiples of `step`, that part the intervals of the targets evenly."""
+        where = np.unique(self.around(targets)).tolist()
+        each = max(7, min(4095, MOST_PROBES // max(1, len(where))))
+        found = []
+        for k in where:
+            lo, hi = self.keys[k] // step, -(-self.keys[k + 1] // step)
+            found += sorted({lo + (hi - lo) * j // (each + 1) for j in range(1, each + 1)} - {lo, hi})
+        return [p * step for p in found]
+
+    def add(self, keys: list[int], total: np.ndarray, rows: np.ndarray) -> None:
+        joined = sorted(zip([*self.keys, *keys], [*self.bytes.tolist(), *total.tolist()], [*self.rows.tolist(), *rows.tolist()], strict=True))
+        self.keys = [k for k, _, _ in joined]
+        self.bytes, self.rows = np.array([b for _, b, _ in joined]), np.array([n for _, _, n in joined])
+
+
+def histogram(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Exact bytes and rows of (h, g, size) rows below each probe."""
+    bounds = halves(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
+        total, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
         for b in batches:
-            key = _unsigned(b.column("key").to_numpy(zero_copy_only=False))
-            size = b.column("size").to_numpy(zero_copy_only=False)
-            place = np.searchsorted(bounds, key, "right")
+            h, g, size = (b.column(c).to_numpy() for c in ("h", "g", "size"))
+            place = below(bounds, h, g)
             rows += np.bincount(place, minlength=len(rows))
             np.add.at(total, place, size)
         k = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k]), pa.array(rows[k])], names=["bin", "bytes", "rows"])
 
-    if group is None:
-        keys = keys.select(F.col("h").alias("key"), "size")
-    else:
-        keys = keys.where(F.col("h") == F.lit(group - (1 << 63))).select(F.col("id").alias("key"), "size")
-    found = keys.mapInArrow(run, "bin bigint, bytes bigint, rows bigint").groupBy("bin").agg(F.sum("bytes"), F.sum("rows")).collect()
-    total, rows = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
-    for k, b, n in found:
-        total[k], rows[k] = b, n
+    found = keys.select("h", "g", "size").mapInArrow(run, "bin bigint, bytes bigint, rows bigint").groupBy("bin").agg(F.sum("bytes"), F.sum("rows")).toArrow()
+    total, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
+    k = found[0].to_numpy()
+    total[k], rows[k] = found[1].to_numpy(), found[2].to_numpy()
     return np.cumsum(total)[:-1], np.cumsum(rows)[:-1]
 
 
-class Known:
-    """Boundaries whose bytes and rows below are known."""
-
-    def __init__(self, low: tuple[int, int], high: tuple[int, int]):
-        self.at = {0: low, TOP: high}
-
-    def around(self, target: float) -> tuple[int, int]:
-        bounds = sorted(self.at)
-        k = int(np.searchsorted([self.at[b][0] for b in bounds], target, "right")) - 1
-        k = min(max(k, 0), len(bounds) - 2)
-        return bounds[k], bounds[k + 1]
-
-    def off(self, bound: int, target: float) -> float:
-        return abs(self.at[bound][0] - target)
-
-    def refine(self, keys: DataFrame, group: int | None, targets: list[float], tolerance: float) -> None:
-        each = max(3, min(63, MOST_PROBES // max(1, len(targets))))
-        while True:
-            probes: set[int] = set()
-            for t in targets:
-                lo, hi = self.around(t)
-                if hi - lo > 1 and min(self.off(lo, t), self.off(hi, t)) > tolerance:
-                    probes.update(lo + (hi - lo) * j // (each + 1) for j in range(1, each + 1))
-            new = sorted(probes - self.at.keys())
-            if not new:
-                return
-            total, rows = histogram(keys, group, new)
-            base = self.at[0]
-            self.at.update((p, (base[0] + int(b), base[1] + int(n))) for p, b, n in zip(new, total, rows, strict=True))
-
-
-def splitters(keys: DataFrame, ranges: int, total: int, count: int) -> list[tuple[int, int, int]]:
-    """The ranges - 1 boundaries (text hash, id, rows below), rising; hash and id as unsigned 64-bit numbers."""
-    tolerance = total / ranges * TOLERANCE
-    targets = [total * i / ranges for i in range(1, ranges)]
-    known = Known((0, 0), (total, count))
-    known.refine(keys, None, targets, tolerance)
-    out, inside = [], {}
-    for t in targets:
-        lo, hi = known.around(t)
-        near = lo if known.off(lo, t) <= known.off(hi, t) else hi
-        if known.off(near, t) > tolerance:
-            inside.setdefault((lo, hi), []).append(t)
-        else:
-            out.append((near, 0, known.at[near][1]))
-    for (lo, hi), some in inside.items():
-        within = Known(known.at[lo], known.at[hi])
-        within.refine(keys, lo, some, tolerance)
-        for t in some:
-            a, b = within.around(t)
-            near = a if within.off(a, t) <= within.off(b, t) else b
-            out.append((lo, near, within.at[near][1]) if near < TOP else (hi, 0, within.at[near][1]))
-    return sorted(out)
+def splitters(count_below, shards: int, total: int, count: int) -> list[int]:
+    """The shards - 1 boundaries, rising. `count_below` gives bytes and rows below each of a list of rising boundaries."""
+    tolerance = total / shards * TOLERANCE
+    targets = total * np.arange(1, shards) / shards
+    known = Known(total, count)
+    for step in (GROUP, 1):
+        while new := known.probes(known.open(targets, tolerance), step):
+            known.add(new, *count_below(new))
+    return [known.keys[k] for k in known.nearest(targets)]
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The frame's rows with size (bytes of the text plus ROW_BYTES), shard and slot, laid out as one partition per range;
-    columns of these names are replaced."""
+    """The frame's rows with size (bytes of the text plus ROW_BYTES), shard and slot; columns of these names are replaced."""
     scratch = Scratch(docs.sparkSession, "sharding")
     docs = docs.drop("size", "shard", "slot")
-    docs = docs.withColumns({"size": F.coalesce(F.octet_length(text_col).cast("bigint"), F.lit(0)) + ROW_BYTES, "__h": F.xxhash64(text_col), "__id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))})
-    keys = scratch.keep(docs.select(F.col("__h").alias("h"), F.col("__id").alias("id"), "size"))
+    own = docs.columns
+    h, g, bin_, part, at = unused(own, "h", "g", "bin", "part", "at")
+    docs = docs.withColumns({"size": F.coalesce(F.octet_length(text_col).cast("bigint"), F.lit(0)) + ROW_BYTES, h: F.xxhash64(text_col), g: F.xxhash64(F.col(id_col).cast("bigint"))})
+    keys = scratch.keep(docs.select(F.col(h).alias("h"), F.col(g).alias("g"), "size"))
     count, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    found = splitters(lambda probes: histogram(keys, probes), shards, total, count) if count else []
     per_shard = max(1, math.ceil(total / shards / RANGE_BYTES))
-    ranges = shards * per_shard
-    found = splitters(keys, ranges, total, count) if count else []
+    known = docs.sparkSession.sparkContext.broadcast((halves(found), halves([0, *found])[0].astype(float), halves([*(f for f in found), TOP - 1])[0].astype(float)))
+
+    @F.pandas_udf("shard int, bin int")
+    def place(h: pd.Series, g: pd.Series) -> pd.DataFrame:
+        bounds, low, high = known.value
+        k = below(bounds, h.to_numpy(), g.to_numpy())
+        share = (h.to_numpy().astype(float) - low[k]) / np.maximum(high[k] - low[k], 1)
+        return pd.DataFrame({"shard": k.astype(np.int32), "bin": np.clip((share * per_shard).astype(np.int32), 0, per_shard - 1)})
+
+    def ranged(df: DataFrame, h: str, g: str, parts: DataFrame) -> DataFrame:
+        df = df.withColumn(at, place(h, g)).withColumns({"shard": F.col(f"{at}.shard"), bin_: F.col(f"{at}.bin")}).drop(at)
+        many = F.coalesce(F.col("__parts"), F.lit(1)) if "__parts" in parts.columns else F.lit(1)
+        return df.join(parts, ["shard", bin_], "left").withColumn(part, F.pmod(F.xxhash64(g), many).cast("int")).drop("__parts")
+
+    binned = keys.withColumn(at, place("h", "g"))
+    sizes = binned.groupBy(F.col(f"{at}.shard").alias("shard"), F.col(f"{at}.bin").alias(bin_)).agg(F.ceil(F.sum("size") / RANGE_BYTES).cast("int").alias("__parts"))
+    parts = scratch.keep(sizes.where(F.col("__parts") > 2))
+    ranges = ranged(keys.select("h", "g"), "h", "g", parts).groupBy("shard", bin_, part).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("shard").orderBy(bin_, part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scratch.keep(ranges.select("shard", bin_, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")))
     scratch.drop(keys)
-    below = np.array([0, *(n for *_, n in found)], np.int64)
-    first = below - below[np.arange(len(below)) // per_shard * per_shard]
-    found = [f for f in found if f[0] < TOP]
-    at = docs.sparkSession.sparkContext.broadcast((np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.uint64), first))
-
-    @F.pandas_udf("range int, first bigint")
-    def place(h: pd.Series, i: pd.Series) -> pd.DataFrame:
-        hashes, ids, first = at.value
-        u, v = _unsigned(h.to_numpy()), _unsigned(i.to_numpy())
-        k, most = np.searchsorted(hashes, u, "left"), np.searchsorted(hashes, u, "right")
-        for j in np.flatnonzero(most > k):
-            k[j] += np.searchsorted(ids[k[j] : most[j]], v[j], "right")
-        return pd.DataFrame({"range": k.astype(np.int32), "first": first[k]})
-
-    placed = docs.withColumn("__at", place("__h", "__id")).repartitionById(ranges, F.col("__at.range")).sortWithinPartitions("__h", "__id")
-    slot = F.col("__at.first") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumns({"slot": slot, "shard": F.floor(F.col("__at.range") / per_shard).cast("int")}).drop("__h", "__id", "__at")
+    inside = Window.partitionBy("shard", bin_, part).orderBy(h, g, F.col(id_col))
+    placed = ranged(docs, h, g, parts).join(ranges, ["shard", bin_, part])
+    slot = F.col("__first") + F.row_number().over(inside) - 1
+    return placed.withColumn("slot", slot).select(*own, "size", "shard", "slot")

@@ -4,41 +4,43 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import shutil
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kvstrata.sources.shipping import is_local, ship_package
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder."""
+    """The cluster's spark.checkpoint.dir. Only on one machine, and where that is unset (as in tests), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = Path(tempfile.mkdtemp(prefix="kvstrata-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(__import__("shutil").rmtree, found.removeprefix("file://"), ignore_errors=True)
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if spark.sparkContext.applicationId not in _own:
+            folder = tempfile.mkdtemp(prefix="kvstrata-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[spark.sparkContext.applicationId] = Path(folder).as_uri()
+        found = _own[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither PYTHONPATH nor their working folder has it."""
-    have = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [Path.cwd()]
-    app = spark.sparkContext.applicationId
-    if _ROOT in have or app in _shipped:
-        return
-    target = Path(tempfile.mkdtemp(prefix="kvstrata-")) / "kvstrata.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in (_ROOT / "kvstrata").rglob("*.py"):
-            z.write(f, f.relative_to(_ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that are taken (in any case of letters)."""
+    taken = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 @contextlib.contextmanager
@@ -53,11 +55,19 @@ def freeing_shuffles(spark: SparkSession):
 
 
 class Scratch:
-    """Tables of one operator call. keep() writes one and returns it as read back; drop() removes those no longer read."""
+    """Tables of one operator call. keep() writes one and returns it as read back; drop() removes those no longer read, and
+    what is left goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/kvstrata/{name}-{uuid.uuid4().hex[:12]}", 0
+        path, files = self._path(self.at)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -70,11 +80,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t.kept_at)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame: file sizes for tables, no job."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()))
+            path, files = self._path(t.kept_at)
+            files.delete(path, True)

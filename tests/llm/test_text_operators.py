@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from kvstrata.llm.langid import UND, identify, identify_held_out, learn
 from kvstrata.llm.minhash import REGISTERS, estimate, near_duplicates, registers
 from kvstrata.llm.packing import pack_documents
 from kvstrata.llm.queries import tokenizer_file
-from kvstrata.llm.sharding import shard
+from kvstrata.llm.sharding import TOLERANCE, below, halves, shard, splitters
 from kvstrata.llm.substring_dedup import remove_repeats
 from tests.llm import brute
 
@@ -94,18 +96,56 @@ def test_packing(spark):
     assert pack_documents(frame(spark, docs).limit(0), path).count() == 0
 
 
-def test_sharding(spark):
-    rng = random.Random(8)
-    docs = [(i, rng.choice([None, "", "same text", "x" * rng.randrange(2000)])) for i in range(3000)] + [(None, "a"), (7, "twice"), (7, "twice")]
-    rows = shard(frame(spark, docs), 10).collect()
-    assert len(rows) == len(docs) and sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(docs, key=str)
-    sizes, slots = [0] * 10, [[] for _ in range(10)]
+def check_shards(rows, docs, shards):
+    """The law: every row once, equal texts in one shard but where one group alone holds up a splitter, slots gapless."""
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(docs, key=str)
+    sizes, slots, groups = [0] * shards, [[] for _ in range(shards)], {}
     for r in rows:
         assert r["size"] == len((r.text or "").encode()) + 16
         sizes[r["shard"]] += r["size"]
         slots[r["shard"]].append(r.slot)
-    assert max(sizes) - min(sizes) <= 2 * 2016 and all(sorted(s) == list(range(len(s))) for s in slots)
+        groups.setdefault(r.text, Counter())[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    longest = max(r["size"] for r in rows)
+    assert max(abs(n - sum(sizes) / shards) for n in sizes) <= longest + 2 * sum(sizes) / shards * TOLERANCE
+    for held in groups.values():
+        assert len(held) == 1 or sum(held.values()) > sum(sizes) / shards * TOLERANCE
+        whole = sorted(held)
+        assert whole == list(range(whole[0], whole[-1] + 1)), "a group is in adjoining shards"
+
+
+def test_sharding(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, rng.choice([None, "", "same text", "x" * rng.randrange(2000)])) for i in range(3000)] + [(None, "a"), (7, "twice"), (7, "twice")]
+    check_shards(shard(frame(spark, docs), 10).collect(), docs, 10)
+    check_shards(shard(frame(spark, docs[:3]), 10).collect(), docs[:3], 10)
     assert shard(frame(spark, docs).limit(0), 10).count() == 0
+    monkeypatch.setattr("kvstrata.llm.sharding.RANGE_BYTES", 4096)
+    df = frame(spark, docs).withColumns({"__h": F.lit(1), "bin": F.lit("b"), "__Part": F.lit(2), "slot": F.lit("s")})
+    rows = shard(df, 10).collect()
+    check_shards(rows, docs, 10)
+    assert {(r["__h"], r["bin"], r["__Part"], r["n_words"]) for r in rows} == {(1, "b", 2, "x")}
+
+
+def test_splitters_of_many_shards():
+    rng = np.random.default_rng(16)
+    h, g = rng.integers(-(1 << 63), (1 << 63) - 1, (2, 100_000))
+    h[:30_000] = h[0]
+    size = rng.integers(16, 3000, 100_000)
+    rounds = []
+
+    def count_below(probes):
+        rounds.append(len(probes))
+        place = below(halves(probes), h, g)
+        return tuple(np.cumsum(np.bincount(place, weights=w, minlength=len(probes) + 1)).astype(int)[:-1] for w in (size, np.ones(len(h))))
+
+    began = time.perf_counter()
+    found = splitters(count_below, 2000, int(size.sum()), len(h))
+    assert time.perf_counter() - began < 5 and len(rounds) < 20 and found == sorted(found) and len(found) == 1999
+    each = np.bincount(below(halves(found), h, g), weights=size, minlength=2000)
+    assert np.abs(each - size.sum() / 2000).max() <= 3000 + 2 * size.sum() / 2000 * TOLERANCE
+    place = below(halves(found[:3]), h, g)
+    assert (place == sum((h > a) | (h == a) & (g >= b) for a, b in zip(*halves(found[:3]), strict=True))).all()
 
 
 def test_language(spark):
