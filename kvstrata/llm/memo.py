@@ -9,17 +9,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: What an entry takes beside its chunk's characters and its ids, about.
+ENTRY_BYTES = 250
+
+
 class Memo(dict):
-    """chunk -> ids as little-endian 32-bit bytes, encoded when first met. A full memo starts over, which bounds its size."""
+    """chunk -> ids as little-endian 32-bit bytes, encoded when first met. Chunks of more than `longest` characters are not
+    kept, and a memo that has come to about `most` bytes starts over, which bounds its size."""
 
-    def __init__(self, encode: Callable[[str], list[int]], entries: int = 700_000):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 192 << 20, longest: int = 64):
         super().__init__()
-        self.encode, self.entries = encode, entries
+        self.encode, self.most, self.longest, self.held = encode, most, longest, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.entries:
-            self.clear()
-        self[chunk] = ids = np.array(self.encode(chunk), "<u4").tobytes()
+        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        if len(chunk) <= self.longest:
+            self.held += ENTRY_BYTES + 4 * len(chunk) + len(ids)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
         return ids
 
 
