@@ -3,7 +3,8 @@ r"""Chat formatting with offset-aligned loss masks.
 A conversation is rendered whole, tokenised once with offsets, and the sorted spans of its assistant texts are intersected
 with the token spans by binary search. The control strings are tokens of their own, added to the tokeniser's, so no token
 crosses the border of a text: the ids under the mask decode to exactly the assistant texts, which read_back() gets from
-them and from nothing else.
+them and from nothing else. For the same reason long conversations give the same tokens when they are handed to the
+tokeniser some turns at a time, as is done to hold the offsets of PIECE characters or one turn at once.
 
 Template: each turn is BEGIN role TEXT text END. Control strings start with "<", and inside roles and texts a backslash is
 written as two and "<" as backslash-l, so no control string (of this template or of a tokeniser's "<|...|>" kind) can occur
@@ -30,6 +31,7 @@ from kvstrata.sources.shipping import ship_package
 
 BEGIN, TEXT, END = "<turn>", "<text>", "</turn>\n"
 LEARNED_ROLE = "assistant"
+PIECE = 100_000
 SCHEMA = "conv_id bigint, formatted string, ids array<int>, mask array<boolean>"
 
 
@@ -41,16 +43,18 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "<" if m[1] == "l" else m[1], text, flags=re.S)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted conversation and the spans of its learned texts, in code points."""
-    parts, spans, at = [], [], 0
+def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The formatted conversation, the spans of its learned texts, and where pieces of some turns begin, in code points."""
+    parts, spans, cuts, at = [], [], [0], 0
     for role, text in turns:
+        if at - cuts[-1] >= PIECE:
+            cuts.append(at)
         head, body = f"{BEGIN}{escape(role)}{TEXT}", escape(text)
         if role == LEARNED_ROLE:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, END]
         at += len(head) + len(body) + len(END)
-    return "".join(parts), spans
+    return "".join(parts), spans, cuts
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -91,15 +95,19 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                done = [render(list(zip(r, t, strict=True))) for r, t in zip(part.column("roles").to_pylist(), part.column("texts").to_pylist(), strict=True)]
-                encoded = bpe.encode_batch([f for f, _ in done], add_special_tokens=False)
-                met = [intersect(np.array(e.offsets, np.int64).reshape(-1, 2), s) for e, (_, s) in zip(encoded, done, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), pa.array([f for f, _ in done], pa.string()), pa.array([e.ids for e in encoded], pa.list_(pa.int32())), pa.array(met, pa.list_(pa.bool_()))],
-                    names=["conv_id", "formatted", "ids", "mask"],
-                )
+            rows, held = [], 0
+            for k in range(batch.num_rows):
+                text, spans, cuts = render(list(zip(*(batch.column(c)[k].as_py() for c in ("roles", "texts")), strict=True)))
+                ids, tokens = [], []
+                for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+                    e = bpe.encode(text[a:b], add_special_tokens=False)
+                    ids.append(np.array(e.ids, np.int32))
+                    tokens.append(np.array(e.offsets, np.int64).reshape(-1, 2) + a)
+                rows.append((batch.column("conv_id")[k].as_py(), text, np.concatenate(ids), intersect(np.concatenate(tokens), spans)))
+                held += len(text)
+                if held >= PIECE or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_())), strict=True)], names=["conv_id", "formatted", "ids", "mask"])
+                    rows, held = [], 0
 
     return whole.mapInArrow(run, SCHEMA)
 
