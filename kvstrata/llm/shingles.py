@@ -9,10 +9,10 @@ WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = np.uint64(0xD1342543DE82EF95)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Two families of hashes that share nothing.
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_STEPS = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
+_powers = {base: (np.ones(1, np.uint64), np.ones(1, np.uint64)) for base in _BASES}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,13 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[base][0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
+        _powers[base] = np.cumprod(up), np.cumprod(down)
+    return _powers[base]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,20 +45,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, np.searchsorted(begin, offsets)
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """A polynomial hash of each word's bytes, taken from prefix sums of the whole buffer."""
-    up, down = _power(len(data) + 1)
+    up, down = _power(len(data) + 1, _BASES[family])
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+def windows(hashes: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """Hash of the `size` words from each place on (fewer places than words by size - 1)."""
     n = max(0, len(hashes) - size + 1)
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total = total * _STEP + hashes[k : k + n]
+        total = total * _STEPS[family] + hashes[k : k + n]
     return mix(total + np.uint64(size))
 
 

@@ -78,6 +78,18 @@ class Scratch:
         out.kept_at = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
+        """Writes the frame in buckets by a column: what groups or joins by it afterwards doesn't exchange it again."""
+        self.n += 1
+        path, name = f"{self.at}/{self.n:03d}", f"kvstrata_{uuid.uuid4().hex}"
+        with freeing_shuffles(self.spark):
+            df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # noqa: B018  the frame is resolved now; its files outlive the name
+        self.spark.sql(f"DROP TABLE {name}")
+        out.kept_at = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, files = self._path(t.kept_at)
