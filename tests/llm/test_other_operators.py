@@ -10,6 +10,7 @@ from kvstrata.llm.chat import BEGIN, END, TEXT, format_conversations, intersect,
 from kvstrata.llm.components import connected_components
 from kvstrata.llm.embedding_dedup import near_duplicates
 from kvstrata.llm.html_extract import extract, main_text
+from kvstrata.llm.memo import Memo
 from kvstrata.llm.queries import tokenizer_file
 from kvstrata.llm.sentencepiece_codec import CharMap, PieceModel, encode_documents
 from kvstrata.llm.storage import Scratch
@@ -35,6 +36,14 @@ def test_sentencepiece_matches_the_library(spark):
     assert encode_documents(df.limit(0), path).count() == 0
 
 
+def test_memo_holds_few_bytes():
+    asked = []
+    memo = Memo(lambda c: asked.append(c) or list(map(ord, c)), most=100_000)
+    for chunk in ["a", "b", "a", "x" * 1000, "x" * 1000, *map(str, range(10_000)), "a"]:
+        assert memo[chunk] == np.array(list(map(ord, chunk)), "<u4").tobytes() and memo.held <= 100_000
+    assert asked.count("x" * 1000) == 2 and "x" * 1000 not in memo and asked[:3] == ["a", "b", "x" * 1000] and len(memo) < 500
+
+
 def test_decode_of_any_ids():
     import sentencepiece
 
@@ -97,12 +106,22 @@ def test_chat_round_trip(spark):
 
 
 def test_mask_is_by_intersections():
-    text, spans = render([("user", "q"), ("assistant", "answer"), ("assistant", "")])
+    text, spans, cuts = render([("user", "q"), ("assistant", "answer"), ("assistant", "")])
+    assert cuts == [0]
     tokens = np.array([(k, min(k + 4, len(text))) for k in range(0, len(text), 4)])
     assert intersect(tokens, spans).tolist() == [any(max(a, x) < min(b, y) for x, y in spans) for a, b in tokens] and parse(text)[1] == ("assistant", "answer")
     assert intersect(np.zeros((0, 2), np.int64), spans).tolist() == [] and intersect(tokens, []).sum() == 0
 
 
+def test_chat_in_pieces_has_the_same_tokens(spark):
+    rng = random.Random(17)
+    rows = [(1, k, rng.choice(["user", "assistant"]), "".join(rng.choices([" ", "word", "\n", "<", "é", "  ", "日", "."], k=rng.randrange(60)))) for k in range(4000)]
+    r = format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), tokenizer_file("byte_bpe_50k.json")).first()
+    e = tokenizer(tokenizer_file("byte_bpe_50k.json")).encode(r.formatted, add_special_tokens=False)
+    text, spans, cuts = render([(role, t) for _, _, role, t in rows])
+    assert len(cuts) > 2 and text == r.formatted and e.ids == r.ids and intersect(np.array(e.offsets), spans).tolist() == r.mask
+
+
 def test_chat_of_odd_tables(spark):
     bpe = tokenizer_file("byte_bpe_50k.json")
     long = "long < text \\ " * 20000

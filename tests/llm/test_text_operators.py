@@ -57,6 +57,36 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_near_duplicates_in_large_families(spark, monkeypatch):
+    """Groups of one centre that only other members link, in several blocks, with a main group and without."""
+    import kvstrata.llm.minhash as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "PARTNERS", 8)
+    rng = random.Random(18)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    docs = []
+    for copies, changes in ((60, (0, 1, 2, 3, 4)), (40, (3, 4, 5))):
+        base = rng.choices(vocabulary, k=150)
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.choice(changes)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            docs.append(" ".join(copy))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs, 3))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, docs)).collect()}
+    assert got == brute.near_documents(docs) and len({c for _, c in got.values()}) > 4
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(19)
+    one, two, three = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(40)) for x in "abc")
+    docs = [(5, one), (9, one), (9, two), (7, two), (8, three), (7, three), (6, "alone and by itself"), (4, None), (4, "x y")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(frame(spark, docs)).collect()}
+    assert {c for (i, _), c in got.items() if i in (5, 7, 8, 9)} == {5} and got[6, 1] == 6 and got[4, 0] == got[4, 1] == 4
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -82,6 +112,29 @@ def test_remove_repeats_of_odd_rows(spark):
     assert remove_repeats(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_remove_repeats_in_many_batches_with_other_columns(spark, monkeypatch):
+    import kvstrata.llm.substring_dedup as module
+
+    monkeypatch.setattr(module, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(module, "GROUP_BYTES", 2000)
+    docs = corpus(5) + [(None, "no id " * 30)] * 20 + [(7000, "one id " * 30)] * 20
+    df = frame(spark, docs).withColumns({"__batch": F.lit("b"), "__id": F.lit("i"), "batch": F.lit(1), "id": F.lit(2), "repeats": F.lit(3)})
+    rows = remove_repeats(df).collect()
+    expected = brute.without_repeats([d for d in docs if d[0] is not None and d[0] != 7000])
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text.encode()) for r in rows if r.doc_id in expected} == expected
+    assert len(rows) == len(docs) and all(r.n_removed == 0 for r in rows if r.doc_id not in expected) and {(r["__batch"], r["__id"], r.batch, r.id) for r in rows} == {("b", "i", 1, 2)}
+    for r in rows:
+        words = (r.text or "").split()
+        gone = {k for a, b in r.repeats for k in range(a, b)}
+        assert len(gone) == r.n_removed and " ".join(w for k, w in enumerate(words) if k not in gone) == r.kept_text
+        assert all(b - a >= module.WINDOW for a, b in r.repeats) and all(x.end < y.begin for x, y in zip(r.repeats, r.repeats[1:], strict=False)), "maximal"
+
+
+def test_text_is_moved_once(spark):
+    plan = remove_repeats(frame(spark, corpus(5)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
