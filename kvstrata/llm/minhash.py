@@ -7,16 +7,24 @@ with probability (1 - 0.75**ROWS)**BANDS, under 3e-7. Documents with equal sets
 
 In a band's bucket every node is paired with the smallest one, its centre, so a bucket of any size gives as many pairs as
 nodes. A pair's similarity is estimated jointly from both sketches and both set sizes by maximum likelihood; pairs whose
-estimate is more than SLACK under the limit (six deviations) go, and all others are confirmed on the full sets.
+estimate is more than SLACK under the limit (six deviations) go, and all others are confirmed on the full sets. A centre's
+sketch and set go once to each task that holds some of its partners, PARTNERS at most, not once a pair.
 
-After these links, only nodes of one centre that are still in different groups can matter. They are compared on their full
-sets in blocks of BLOCK nodes, by products of incidence matrices inside a task; a block pair gives back only links that span
-what it connects. So no pairs of a family are ever rows, and copies with changes of their own, most of whose pairs
-are just under the limit, cost products and not data.
+After these links, only nodes of one centre that are still in different groups can matter. The largest group of a centre's
+nodes isn't compared with itself, so where most copies are linked already, the work grows with the few that aren't. All
+others are compared on their full sets in blocks of at most about BLOCK nodes and BLOCK_SHINGLES shingles, by products of
+incidence matrices inside a task; a block pair gives back only links that span what it connects. So no pairs of a family
+are ever rows, and what is sent is arrays of hashes, once for each block that a node's own block meets. Copies none of
+which are linked, most of whose pairs are just under the limit, cost products with the square of their number and are
+sent (their number / BLOCK) times: exact components need each of those pairs excluded.
+
+Sets are compared as sets of 64-bit hashes of shingles, so two shingles of one pair of documents with equal hashes would
+count as one: less than one pair in 10**9, even of documents with 20,000 shingles each.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; with fewer words than a shingle
-has, all of them are one; a row with a null id is kept and links with nothing; rows of one id are one node with the links of
-all of them; an empty table gives no rows; columns other than id and text are ignored.
+has, all of them are one; a row with a null id is kept and links with nothing; rows of one id are one document with the
+links of all of them; very long texts are one row and are handled whole; an empty table gives no rows; columns other than
+id and text are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +48,8 @@ BANDS, ROWS = 56, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 SLACK = 0.17
-BLOCK = 256
+PARTNERS = 4096
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,17 +119,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
+def sums(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set, whatever the order of its elements."""
+    ends = np.cumsum(sizes)
+    out = []
+    for k in np.array([[1], [2]], np.uint64):  # arrays, as scalars warn of overflow
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + k * _GOLD))])
+        out.append((total[ends] - total[ends - sizes]).view(np.int64))
+    return out
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1_000_000):
             values, sizes = sets(part.column("text"))
-            starts = np.cumsum(sizes) - sizes
-            halves = []
-            for k in (1, 2):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(k) * _GOLD))])
-                halves.append((total[starts + sizes] - total[starts]).view(np.int64))
             sketch = registers(values, sizes)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int64)), *map(pa.array, halves), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums(values, sizes)), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["id", "n", "h1", "h2", "sketch"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,33 +142,70 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
         keys = band_keys(sketch)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
 
 
-def _sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-    return one, two
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingle hashes of the rows whose text is their node's."""
+    for batch in batches:
+        for part in slices(batch, "text", 1_000_000):
+            values, sizes = sets(part.column("text"))
+            h1, h2 = sums(values, sizes)
+            mine = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
+            ends = np.cumsum(sizes)
+            hashes = [values[b - n : b].tobytes() for b, n, m in zip(ends, sizes, mine, strict=True) if m]
+            yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(mine)), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+
+
+def _by_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of beside() with the places of partners and of the centre of each, which may have come batches before."""
+    centre = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if centre is None else [centre, batch]).combine_chunks()
+        is_centre = t["b"].is_null().to_numpy()
+        a, at = t["a"].to_numpy(), np.maximum.accumulate(np.where(is_centre, np.arange(t.num_rows), 0))
+        partner = np.flatnonzero(~is_centre & (a == a[at]))
+        yield t, partner, at[partner]
+        centre = t.slice(int(at[-1]), 1).combine_chunks().to_batches()[0] if t.num_rows else centre
+
+
+def beside(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """The payload (by node) of every pair's b after that of its a, whose b is null, in tasks of PARTNERS pairs of one a."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")).where("parts > 1")
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    of = [c for c in payload.columns if c != "node"]
+    centres = pairs.select("a", "part").distinct().join(payload.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), *of)
+    partners = pairs.join(payload.withColumnRenamed("node", "b"), "b").select("a", "part", "b", *of)
+    return centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+
+def _pairs(t: pa.Table, places: np.ndarray) -> pa.RecordBatch:
+    return t.select(["a", "b"]).take(pa.array(places, pa.int64())).combine_chunks().to_batches(max_chunksize=None)[0] if len(places) else pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = LIMIT[0] / LIMIT[1] - SLACK
-    for batch in batches:
-        if batch.num_rows:
-            keep = estimate(*_sketches(batch), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
-            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(keep)))
+    for t, partner, centre in _by_centre(batches):
+        n, sketch = t["n"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        kept = [np.zeros(0, np.int64)]
+        for k in range(0, len(partner), COLUMNS):
+            p, c = partner[k : k + COLUMNS], centre[k : k + COLUMNS]
+            kept.append(p[estimate(sketch[c], sketch[p], n[c], n[p]) >= least])
+        yield _pairs(t, np.concatenate(kept))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_a", 1_000_000):
-            one, two = sets(part.column("text_a")), sets(part.column("text_b"))
-            at = [np.concatenate([[0], np.cumsum(n)]) for _, n in (one, two)]
-            keep = []
-            for k in range(part.num_rows):
-                x, y = one[0][at[0][k] : at[0][k + 1]], two[0][at[1][k] : at[1][k + 1]]
-                if len(x) and len(y) and linked(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))), len(x), len(y)):
-                    keep.append(k)
-            yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    for t, partner, centre in _by_centre(batches):
+        hashes, keep = t["hashes"], []
+        of, x = -1, None
+        for p, c in zip(partner.tolist(), centre.tolist(), strict=True):
+            if c != of:
+                of, x = c, np.frombuffer(hashes[c].as_py(), np.uint64)
+            y = np.frombuffer(hashes[p].as_py(), np.uint64)
+            few = LIMIT[1] * min(len(x), len(y)) < LIMIT[0] * max(len(x), len(y))
+            if not few and linked(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))), len(x), len(y)):
+                keep.append(p)
+        yield _pairs(t, np.array(keep, np.int64))
 
 
 def linked(both, n_a, n_b):
@@ -163,8 +214,9 @@ def linked(both, n_a, n_b):
 
 def _compare(key: tuple, table: pa.Table) -> pa.Table:
     """Links between the nodes of two blocks (or of one) that are in different groups, as (id, smallest id reached)."""
-    values, sizes = sets(table["text"].combine_chunks())
-    block, ids, group = (table[c].to_numpy() for c in ("block", "id", "group"))
+    blobs = table["hashes"].to_pylist()
+    values, sizes = np.frombuffer(b"".join(blobs), np.uint64), np.array([len(b) // 8 for b in blobs], np.int64)
+    block, ids, group = (table[c].to_numpy() for c in ("block", "node", "group"))
     left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
     node = np.repeat(np.arange(len(sizes)), sizes)
     _, column, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -192,40 +244,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.keep(docs.mapInArrow(_sign, "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"))
     nodes = signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-    nodes = scratch.keep(nodes)
-    bands = nodes.select("rep", "sketch").mapInArrow(_bands, "rep bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "rep")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets = scratch.keep(bands.join(shared.hint("merge"), "key"))  # sorted at every size: what repeats grows with the input
-
-    tried = scratch.keep(buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    scratch.drop(buckets)
-    one = nodes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    likely = scratch.keep(tried.join(one, "a").join(two, "b").mapInArrow(_likely, "a bigint, b bigint"))
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.distinct().hint("merge"), "id", "left_semi")
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+    bands = nodes.select("node", "sketch").mapInArrow(_bands, "node bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "node")
+    shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
+    # one plan at every size: there are BANDS keys for every repeated node, too many to broadcast but from small inputs
+    buckets = bands.join(shared.hint("merge"), "key").where("node <> first")
+    tried = scratch.keep(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    likely = scratch.keep(beside(tried, nodes.select("node", "n", "sketch")).mapInArrow(_likely, "a bigint, b bigint"))
+    used = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("id"), "node", "h1", "h2")
+    full = docs.join(wanted, "id").mapInArrow(_sets, "node bigint, hashes binary")
+    full = scratch.keep(full.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    links = scratch.keep(beside(likely, full).mapInArrow(_confirm, "a bigint, b bigint"))
+    scratch.drop(likely)
+
+    rows = scratch.keep(signed.select("id", "n", "h1", "h2").join(nodes.select("h1", "h2", "n", "rep", "node"), ["h1", "h2", "n"], "left").select("id", "n", "node", "rep"))
+    several = rows.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("id", "u")
+    same = scratch.keep(rows.join(several, "id").select("u", F.col("node").alias("v")).where("u < v").distinct())
+    scratch.drop(signed)
 
     def groups_of(pairs: DataFrame) -> DataFrame:
-        return scratch.keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
+        return scratch.keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same), scratch))
 
-    texts = scratch.keep(texts_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))))
-    text_a, text_b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    links = scratch.keep(likely.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))
-    scratch.drop(texts, likely)
     groups = groups_of(links)
-    placed = scratch.keep(tried.join(groups.select(F.col("id").alias("b"), "component"), "b", "left").select("a", F.col("b").alias("id"), F.coalesce("component", "b").alias("group")))
+    placed = tried.join(groups.select(F.col("id").alias("b"), "component"), "b", "left").join(nodes.select(F.col("node").alias("b"), "n"), "b")
+    placed = scratch.keep(placed.select("a", F.col("b").alias("node"), F.coalesce("component", "b").alias("group"), "n"))
     scratch.drop(tried)
-    mixed = placed.groupBy("a").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("a", "blocks")
-    family = placed.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), "blocks").cast("int"))
-    family = scratch.keep(family.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "block", "id", "group"))
-    texts = scratch.keep(texts_of(family.select("id")))
-    late = scratch.keep(family.join(texts, "id").groupBy("a", "l", "r").applyInArrow(_compare, "a bigint, b bigint"))
-    scratch.drop(texts, placed, family)
+    sizes = placed.groupBy("a", "group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("a").agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "group")).alias("main")).where("k > 1")
+
+    def blocks(c, s):
+        return F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+
+    sizes = sizes.select("a", F.col("main.group").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("others"), blocks(F.col("main.c"), F.col("main.s")).alias("mains"))
+    spot, other = F.xxhash64("node", F.lit(2)), F.col("group") != F.col("main")
+    family = placed.join(sizes, "a").withColumn("block", F.when(other, F.pmod(spot, "others")).otherwise(F.col("others") + F.pmod(spot, "mains")).cast("int"))
+    family = family.withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(other, F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)))
+    family = family.select("a", F.least("block", "meets").alias("l"), F.greatest("block", "meets").alias("r"), "block", "node", "group")
+    late = scratch.keep(family.join(full, "node").groupBy("a", "l", "r").applyInArrow(_compare, "a bigint, b bigint"))
+    scratch.drop(full, placed)
     if late.head(1):
         groups = groups_of(links.unionByName(late))
-    rep = nodes.select("h1", "h2", "n", "rep")
-    out = signed.select("id", "n", "h1", "h2").join(rep, ["h1", "h2", "n"], "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    least = F.coalesce("component", "rep", "id")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), least)).otherwise(F.col("id")).alias("component_id"))
+    reps = groups.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
+    least = reps.groupBy("component").agg(F.min("rep").alias("least"))
+    out = rows.join(reps.select("node", "component"), "node", "left").join(least, "component", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "id").alias("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
