@@ -1,17 +1,15 @@
 """The tagged value codec: a tag byte and a payload, low byte first.
 
-Integers, strings, bytes and times are built-in expressions; only the bit patterns of floats go through an Arrow UDF.
+All of it is built-in expressions: the bit patterns of floats are put together from sign, exponent and fraction, which
+powers of two scale without rounding. So values can be coded inside higher-order functions, at any depth of a row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kvstrata.functions.keys import whole
+from kvstrata.functions.keys import let, whole
 
 #: Tags of the value format: fixed values.
 TAGS = {"null": 0x00, "bool": 0x01, "u8": 0x02, "i8": 0x03, "i16": 0x04, "u16": 0x05, "i32": 0x06, "u32": 0x07, "i64": 0x08, "u64": 0x09, "f32": 0x0A, "f64": 0x0B, "string": 0x0C, "bytes": 0x0D, "datetime": 0x0E, "guid": 0x0F}
@@ -24,40 +22,89 @@ OF_TYPE = {"boolean": "bool", "tinyint": "i8", "smallint": "i16", "int": "i32",
 DECODED = "tag tinyint, bool boolean, int decimal(20,0), float double, string string, bytes binary, time timestamp, guid binary"
 
 
-def _bits(x: pd.Series, kind: str) -> pd.Series:
-    data = np.ascontiguousarray(x.to_numpy(kind, na_value=np.nan))
-    text, width = data.tobytes().hex().upper(), 2 * data.itemsize
-    return pd.Series([text[k : k + width] for k in range(0, len(text), width)], dtype=object)
+INTEGERS = ("u8", "i8", "i16", "u16", "i32", "u32", "i64", "u64")
+#: Fraction bits, least exponent of a normal number, and exponent bias of the float formats: fixed values.
+FLOATS = {"f32": (23, -126, 127), "f64": (52, -1022, 1023)}
 
 
-def _hex_f64(x: pd.Series) -> pd.Series:
-    return _bits(x, "<f8")
+def _swap(h: Column) -> Column:
+    """Hex with its bytes in the other order."""
+    return F.regexp_replace(F.reverse(h), "(.)(.)", "$2$1")
 
 
-def _hex_f32(x: pd.Series) -> pd.Series:
-    return _bits(x, "<f4")
+def little(n: Column, width: int) -> Column:
+    """Hex of the low `width` bytes of a whole number, low byte first."""
+    return _swap(F.right(F.lpad(F.hex(n.cast("bigint")), F.lit(16), F.lit("0")), F.lit(2 * width)))
 
 
-def _from_bits(x: pd.Series) -> pd.Series:
-    """NaN is a value and not a null here, which only an Arrow-backed series can tell apart."""
-    kinds = {4: "<f4", 8: "<f8"}
-    found = [float(np.frombuffer(bytes(b), kinds[len(b)])[0]) if b is not None and len(b) in kinds else None for b in x]
-    return pd.Series(pd.arrays.ArrowExtensionArray(pa.array(found, pa.float64())))
+def _wide(n: Column) -> Column:
+    """An unsigned 64-bit number as the signed one of the same bits."""
+    n = n.cast("decimal(20,0)")
+    return F.when(n >= whole(2**63), n - whole(2**64)).otherwise(n).cast("bigint")
 
 
-def little(n: Column, width: int) -> Column:
-    """Hex of the low `width` bytes of a whole number, low byte first."""
-    n = n.cast("decimal(20,0)")
-    n = F.when(n >= whole(2**63), n - whole(2**64)).otherwise(n).cast("bigint")
-    h = F.lpad(F.hex(n), 16, "0")
-    return F.concat(*(F.substring(h, k, 2) for k in range(15, 15 - 2 * width, -2)))
+def _raw(b: Column, at: Column | int, width: Column | int) -> Column:
+    """The bits in up to 8 bytes from the 1-based place `at`, as a bigint."""
+    at, width = (F.lit(x) if isinstance(x, int) else x for x in (at, width))
+    return F.conv(_swap(F.hex(F.substring(b, at, width))), 16, -10).cast("bigint")
+
+
+def _signed(raw: Column, width: Column | int) -> Column:
+    shift = 64 - 8 * width
+    return F.call_function("shiftright", F.call_function("shiftleft", raw, F.lit(shift) if isinstance(shift, int) else shift), F.lit(shift) if isinstance(shift, int) else shift)
 
 
 def from_little(b: Column, at: int, width: int, signed: bool) -> Column:
     """The number in `width` bytes from the 1-based place `at`, as decimal(20,0)."""
-    h = F.hex(F.substring(b, at, width))
-    value = F.conv(F.concat(*(F.substring(h, k, 2) for k in range(2 * width - 1, 0, -2))), 16, 10).cast("decimal(20,0)")
-    return F.when(value >= whole(2 ** (8 * width - 1)), value - whole(2 ** (8 * width))).otherwise(value).cast("decimal(20,0)") if signed else value
+    raw = _raw(b, at, width)
+    if signed:
+        return _signed(raw, width).cast("decimal(20,0)")
+    value = raw.cast("decimal(20,0)")
+    return F.when(raw < 0, value + whole(2**64)).otherwise(value).cast("decimal(20,0)") if width == 8 else value
+
+
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def float_bits(x: Column, kind: str) -> Column:
+    """The bit pattern of a float as a bigint; every NaN has one."""
+    fraction, least, bias = FLOATS[kind]
+    infinite = (2 * bias + 1) << fraction
+    sign = -(1 << 63) if kind == "f64" else 1 << 31
+
+    def exponent(size: Column) -> Column:
+        """Of the greatest power of two that isn't more. The logarithm may be one off at a power of two."""
+        guess = F.greatest(F.floor(F.log2(size)), F.lit(least)).cast("int")
+        right = let(guess, lambda g: F.when(_power(g) > size, g - 1).when(_power(g) * 2 <= size, g + 1).otherwise(g))
+        return F.greatest(right, F.lit(least))
+
+    def normal(size: Column) -> Column:
+        return let(exponent(size), lambda e: F.call_function("shiftleft", (e + bias).cast("bigint"), F.lit(fraction)) + ((size / _power(e) - 1) * float(1 << fraction)).cast("bigint"))
+
+    def bits(x: Column) -> Column:
+        size = F.abs(x)
+        # subnormal numbers have no leading one; two steps, as the whole power can be infinite
+        tiny = (size * 2.0 ** ((fraction - least) // 2) * 2.0 ** (fraction - least - (fraction - least) // 2)).cast("bigint")
+        found = F.when(size == F.lit(float("inf")), F.lit(infinite)).when(size < F.lit(2.0**least), tiny).otherwise(normal(size)).cast("bigint")
+        negative = (x < 0) | (x.cast("string") == "-0.0")
+        return F.when(F.isnan(x), F.lit(infinite + (1 << (fraction - 1)))).when(negative, found.bitwiseOR(F.lit(sign))).otherwise(found)
+
+    return let(x.cast("double"), bits)
+
+
+def from_bits(bits: Column, kind: str) -> Column:
+    """The float of a bit pattern, as a double."""
+    fraction, least, bias = FLOATS[kind]
+
+    def value(bits: Column) -> Column:
+        wide = F.call_function("shiftright", bits, F.lit(fraction)).bitwiseAND(F.lit(2 * bias + 1)).cast("int")
+        part = bits.bitwiseAND(F.lit((1 << fraction) - 1)).cast("double")
+        negative = bits.bitwiseAND(F.lit(-(1 << 63) if kind == "f64" else 1 << 31)) != 0
+        size = F.when(wide == 2 * bias + 1, F.when(part == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).when(wide == 0, part * 2.0 ** (least - fraction)).otherwise((part / float(1 << fraction) + 1) * _power(wide - bias))
+        return size * F.when(negative, -1.0).otherwise(1.0)
+
+    return let(bits, value)
 
 
 def encode_value(x: Column, kind: str, dialect: str = "go") -> Column:
@@ -71,10 +118,8 @@ def encode_value(x: Column, kind: str, dialect: str = "go") -> Column:
         return F.unhex(F.lit("00"))
     if kind == "bool":
         body = F.when(x, "01").otherwise("00")
-    elif kind == "f64":
-        body = F.pandas_udf(_hex_f64, "string")(x.cast("double"))
-    elif kind == "f32":
-        body = F.pandas_udf(_hex_f32, "string")(x.cast("float"))
+    elif kind in FLOATS:
+        body = little(float_bits(x.cast("double" if kind == "f64" else "float"), kind), WIDTHS[kind])
     elif kind == "string":
         raw = x.cast("binary")
         body = F.concat(little(F.octet_length(raw), 4), F.hex(raw)) if dialect == "rust" else F.hex(raw)
@@ -84,49 +129,74 @@ def encode_value(x: Column, kind: str, dialect: str = "go") -> Column:
         micros = F.unix_micros(x.cast("timestamp"))
         body = little(micros * 10 + F.lit(EPOCH_TICKS), 8) if dialect == "csharp" else little(micros * 1000, 8)
     elif kind == "guid":
-        h = F.hex(x)
-        body = F.concat(*(F.substring(h, k, 2) for k in range(31, 0, -2))) if dialect == "csharp" else h
+        body = _swap(F.hex(x)) if dialect == "csharp" else F.hex(x)
     else:
-        body = little(x, WIDTHS[kind])
+        body = little(_wide(x) if kind == "u64" else x, WIDTHS[kind])
     return F.when(x.isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.concat(F.lit(tag), body)))
 
 
-def decode_value(b: Column, dialect: str = "go", floats: bool = True) -> Column:
-    """A struct of DECODED, with the field of the value's type set. An unknown tag is an error, and so is an empty value in
-    the csharp dialect; in others that is null. `floats` False leaves float payloads in `bytes`, without a UDF."""
-    tag = F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).cast("int")
-    body = F.substring(b, F.lit(2), F.greatest(F.octet_length(b) - 1, F.lit(0)))
-    known = [t for k, t in TAGS.items() if dialect != "rust" or k not in ("datetime", "guid")]
+def _by_tag(tag: Column, values: dict[str, Column]) -> Column:
+    out = None
+    for kind, value in values.items():
+        out = F.when(tag == TAGS[kind], value) if out is None else out.when(tag == TAGS[kind], value)
+    return out
+
+
+def _tag(b: Column) -> Column:
+    return F.conv(F.hex(F.substring(b, 1, 1)), 16, 10).cast("int")
+
 
-    def when(kinds: tuple[str, ...], make) -> Column:
-        out = None
-        for k in kinds:
-            out = F.when(tag == TAGS[k], make(k)) if out is None else out.when(tag == TAGS[k], make(k))
-        return out
+def _whole(b: Column, tag: Column) -> Column:
+    """Any whole number, as a bigint; those over 2**63 - 1 as the negative number of the same bits."""
+    width = _by_tag(tag, {k: F.lit(WIDTHS[k]) for k in INTEGERS})
+    signed = tag.isin([TAGS[k] for k in INTEGERS if k[0] == "i"])
+    return let(width, lambda w: let(_raw(b, 2, w), lambda raw: F.when(signed, _signed(raw, w)).otherwise(raw)))
 
-    number_of = when(("u8", "i8", "i16", "u16", "i32", "u32", "i64", "u64"), lambda k: from_little(b, 2, WIDTHS[k], k[0] == "i"))
-    text = body.cast("string") if dialect != "rust" else F.substring(b, F.lit(6), from_little(b, 2, 4, True).cast("int")).cast("string")
-    raw = F.substring(b, F.lit(6), from_little(b, 2, 4, True).cast("int"))
-    number = from_little(b, 2, 8, True).cast("bigint")
+
+def _text(b: Column, dialect: str) -> Column:
+    body = F.substring(b, F.lit(6), _raw(b, 2, 4).cast("int")) if dialect == "rust" else F.substring(b, F.lit(2), F.greatest(F.octet_length(b) - 1, F.lit(0)))
+    return body.cast("string")
+
+
+def _time(b: Column, dialect: str) -> Column:
+    number = _raw(b, 2, 8)
     unit, since = (10, number - EPOCH_TICKS) if dialect == "csharp" else (1000, number)
-    micros = F.call_function("div", since - F.pmod(since, F.lit(unit)), F.lit(unit))
-    h = F.hex(body)
-    guid = F.unhex(F.concat(*(F.substring(h, k, 2) for k in range(31, 0, -2)))) if dialect == "csharp" else body
-    is_float = tag.isin(TAGS["f32"], TAGS["f64"])
-    decimal = F.pandas_udf(_from_bits, "double")(F.when(is_float, body)) if floats else F.lit(None).cast("double")
-    blob = F.when(tag == TAGS["bytes"], raw)
-    if not floats:
-        blob = blob.when(is_float, body)
-    fields = F.struct(
-        tag.cast("tinyint").alias("tag"),
-        F.when(tag == TAGS["bool"], F.substring(b, 2, 1) != F.unhex(F.lit("00"))).alias("bool"),
-        number_of.cast("decimal(20,0)").alias("int"),
-        decimal.alias("float"),
-        F.when(tag == TAGS["string"], text).alias("string"),
-        blob.alias("bytes"),
-        F.when(tag == TAGS["datetime"], F.timestamp_micros(micros)).alias("time"),
-        F.when(tag == TAGS["guid"], guid).alias("guid"),
-    )
+    return F.timestamp_micros(F.call_function("div", since - F.pmod(since, F.lit(unit)), F.lit(unit)))
+
+
+def _guid(b: Column, dialect: str) -> Column:
+    body = F.substring(b, F.lit(2), F.lit(16))
+    return F.unhex(_swap(F.hex(body))) if dialect == "csharp" else body
+
+
+def _as(b: Column, tag: Column, kind: str, dialect: str) -> Column:
+    if kind in INTEGERS:
+        number = _whole(b, tag)
+        if kind == "u64":
+            number = let(number, lambda raw: F.when((raw < 0) & (tag == TAGS["u64"]), raw.cast("decimal(20,0)") + whole(2**64)).otherwise(raw.cast("decimal(20,0)")).cast("decimal(20,0)"))
+        return F.when(tag.isin([TAGS[k] for k in INTEGERS]), number)
+    if kind in FLOATS:
+        return _by_tag(tag, {k: from_bits(_raw(b, 2, WIDTHS[k]), k) for k in FLOATS})
+    made = {"bool": lambda: F.substring(b, 2, 1) != F.unhex(F.lit("00")), "string": lambda: _text(b, dialect), "bytes": lambda: F.substring(b, F.lit(6), _raw(b, 2, 4).cast("int")), "datetime": lambda: _time(b, dialect), "guid": lambda: _guid(b, dialect), "null": lambda: F.lit(None)}
+    return F.when(tag == TAGS[kind], made[kind]())
+
+
+def decode_as(b: Column, kind: str, dialect: str = "go") -> Column:
+    """The value of a kind that the reader knows, a key of TAGS, without what decode_value needs to tell kinds apart: any
+    whole number for one of them, any float for one of them, and null for a null value or one of another kind."""
+    return let(b, lambda b: let(_tag(b), lambda tag: _as(b, tag, kind, dialect)))
+
+
+def decode_value(b: Column, dialect: str = "go") -> Column:
+    """A struct of DECODED, with the field of the value's type set. An unknown tag is an error, and so is an empty value in
+    the csharp dialect; in others that is null."""
+    return let(b, lambda b: let(_tag(b), lambda tag: _decoded(b, tag, dialect)))
+
+
+def _decoded(b: Column, tag: Column, dialect: str) -> Column:
+    known = [t for k, t in TAGS.items() if dialect != "rust" or k not in ("datetime", "guid")]
+    kinds = {"bool": "bool", "int": "u64", "float": "f64", "string": "string", "bytes": "bytes", "time": "datetime", "guid": "guid"}
+    fields = F.struct(tag.cast("tinyint").alias("tag"), *(_as(b, tag, kind, dialect).alias(name) for name, kind in kinds.items()))
     kind = f"struct<{DECODED.replace(', ', ',').replace(' ', ':')}>"
     wrong = F.raise_error(F.concat(F.lit("unknown value tag "), F.hex(F.substring(b, 1, 1)))).cast(kind)
     empty = F.raise_error(F.lit("empty value")).cast(kind) if dialect == "csharp" else F.lit(None).cast(kind)

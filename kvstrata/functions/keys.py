@@ -6,6 +6,8 @@ Keys are binary columns; Spark compares them as unsigned bytes, the shorter firs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ INLINE_MAX, LONG_MARKER = 128, 255
 SUBSCRIPT_TAG = "02"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound to a variable: evaluated once and written once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _bytes(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("binary")
 
@@ -86,23 +93,33 @@ def key_split(path: Column | str, delimiter: str) -> Column:
     return encode_parts(split_parts(path, delimiter))
 
 
+def part_spans(key: Column | str, tuple_format: bool = False) -> Column:
+    """1-based place and size of each part of a key; a key that ends inside a part is an error. `tuple_format`: lengths as
+    encode_tuple writes them."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("spans"))
+
+    def spans(key: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            def after(head: Column) -> Column:
+                size, skip = head, F.lit(1)
+                if tuple_format:
+                    long = head == LONG_MARKER
+                    size, skip = F.when(long, unsigned(key, s["at"] + 1, 2)).otherwise(head), F.when(long, 3).otherwise(1)
+                span = F.struct((s["at"] + skip).alias("at"), size.alias("size"))
+                fits = s["at"] + skip + size <= F.octet_length(key) + 1
+                span = F.when(fits, span).otherwise(F.raise_error(F.lit("truncated key")).cast("struct<at:int,size:int>"))
+                return F.struct((s["at"] + skip + size).alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+
+            return F.when(s["at"] > F.octet_length(key), s).otherwise(let(unsigned(key, s["at"]), after))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PARTS)), start, step, lambda s: s["spans"])
+
+    return let(_bytes(key), spans)
+
+
 def decode_parts(key: Column | str, tuple_format: bool = False) -> Column:
     """Parts of a key as binaries; a key that ends inside a part is an error. `tuple_format`: lengths as encode_tuple writes them."""
-    key = _bytes(key)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("parts"))
-
-    def step(s: Column, _: Column) -> Column:
-        head = unsigned(key, s["at"])
-        size, skip = head, F.lit(1)
-        if tuple_format:
-            long = head == LONG_MARKER
-            size, skip = F.when(long, unsigned(key, s["at"] + 1, 2)).otherwise(head), F.when(long, 3).otherwise(1)
-        end = s["at"] + skip + size
-        whole = F.when(s["at"] > F.octet_length(key), F.lit(None)).when(end <= F.octet_length(key) + 1, F.substring(key, s["at"] + skip, size)).otherwise(F.raise_error(F.lit("truncated key")).cast("binary"))
-        more = s["at"] <= F.octet_length(key)
-        return F.struct(F.when(more, end).otherwise(s["at"]).alias("at"), F.when(more, F.concat(s["parts"], F.array(whole))).otherwise(s["parts"]).alias("parts"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PARTS)), start, step, lambda s: s["parts"])
+    return F.transform(part_spans(key, tuple_format), lambda s: F.substring(_bytes(key), s["at"], s["size"]))
 
 
 def decode_strings(key: Column | str) -> Column:

@@ -3,6 +3,9 @@
 flatten() turns each row into (root, key, value) pairs: a marker for the root, for every struct and for every array, and a
 pair for every scalar, its key the root's followed by field names and array indexes. With a known schema the pairs are a
 plan-time expression; JSON of any shape goes through an Arrow function.
+
+What trees can't say doesn't come back: null elements at the end of an array (those before others do), and in the rust
+dialect, which has no markers, empty containers, which come back as null.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvstrata.functions.codec import OF_TYPE, decode_value, encode_value
-from kvstrata.functions.keys import decode_strings, has_prefix, literal_key, part
+from kvstrata.functions.codec import OF_TYPE, decode_as, encode_value
+from kvstrata.functions.keys import decode_strings, has_prefix, let, literal_key, part, unsigned
 
 PAIRS = "array<struct<key:binary,value:binary>>"
 
@@ -27,6 +30,7 @@ def _pair(key: Column, value: Column) -> Column:
 
 def _pairs(x: Column, kind: T.DataType, key: Column, dialect: str, rename: dict[str, str], ignore: frozenset[str], at: str = "") -> Column:
     nothing = F.array().cast(PAIRS)
+    absent = F.array(_pair(key, F.unhex(F.lit("00")))) if dialect == "rust" else nothing
     if isinstance(kind, (T.StructType, T.ArrayType)):
         marker = nothing if dialect == "rust" else F.array(_pair(key, F.unhex(F.lit("00" if dialect == "go" else ""))))
         if isinstance(kind, T.StructType):
@@ -35,10 +39,8 @@ def _pairs(x: Column, kind: T.DataType, key: Column, dialect: str, rename: dict[
         else:
             each = F.transform(x, lambda v, i: _pairs(v, kind.elementType, F.concat(key, part(i.cast("string"))), dialect, rename, ignore, at))
             inner = [F.flatten(each)]
-        return F.when(x.isNull(), nothing).otherwise(F.concat(marker, *inner))
-    value = encode_value(x, OF_TYPE[kind.simpleString()], dialect)
-    one = F.array(_pair(key, value))
-    return one if dialect == "rust" else F.when(x.isNull(), nothing).otherwise(one)
+        return F.when(x.isNull(), absent).otherwise(F.concat(marker, *inner))
+    return F.when(x.isNull(), absent).otherwise(F.array(_pair(key, encode_value(x, OF_TYPE[kind.simpleString()], dialect))))
 
 
 def flatten(df: DataFrame, root: Column, columns: list[str] | None = None, dialect: str = "go", rename: dict[str, str] | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -51,50 +53,54 @@ def flatten(df: DataFrame, root: Column, columns: list[str] | None = None, diale
     return df.withColumn("__root", root).select(F.col("__root").alias("root"), F.explode(pairs).alias("pair")).select("root", "pair.key", "pair.value")
 
 
+def _below(tree: Column, key: Column) -> Column:
+    """Keys under another."""
+    return F.filter(F.map_keys(tree), lambda k: (F.octet_length(k) > F.octet_length(key)) & (F.substring(k, F.lit(1), F.octet_length(key)) == key))
+
+
 def _rebuild(tree: Column, kind: T.DataType, key: Column, dialect: str, rename: dict[str, str], at: str = "") -> Column:
     if isinstance(kind, T.StructType):
         fields = [(f"{at}.{f.name}".lstrip("."), f) for f in kind.fields]
         made = F.struct(*(_rebuild(tree, f.dataType, F.concat(key, part(F.lit(rename.get(p, f.name)))), dialect, rename, p).alias(f.name) for p, f in fields))
-        return F.when(F.map_contains_key(tree, key), made)
+        return F.when(F.size(_below(tree, key)) > 0 if dialect == "rust" else F.map_contains_key(tree, key), made)
     if isinstance(kind, T.ArrayType):
-        below = F.octet_length(key) + 1
-        own = F.filter(F.map_keys(tree), lambda k: (F.substring(k, F.lit(1), below - 1) == key) & (F.octet_length(k) > below) & (F.octet_length(k) - below == F.conv(F.hex(F.substring(k, below, F.lit(1))), 16, 10).cast("int")))
-        n = F.size(own)
+        first = F.octet_length(key) + 1
+        indexes = F.transform(_below(tree, key), lambda k: F.substring(k, first + 1, unsigned(k, first)).cast("string").cast("int"))
+        n = F.coalesce(F.array_max(indexes) + 1, F.lit(0))
         items = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n), lambda i: _rebuild(tree, kind.elementType, F.concat(key, part(i.cast("string"))), dialect, rename, at))
-        return F.when(F.map_contains_key(tree, key), items)
-    value = decode_value(F.try_element_at(tree, key), dialect, floats=False)
-    name = OF_TYPE[kind.simpleString()]
-    field = {"bool": "bool", "string": "string", "bytes": "bytes", "datetime": "time", "f32": "bytes", "f64": "bytes"}.get(name, "int")
-    return value[field].cast("binary") if name in ("f32", "f64") else value[field].cast(kind)
-
-
-def _bits_back(x: Column, kind: T.DataType) -> Column:
-    """Float payloads of a rebuilt value as numbers. Functions in Python can't stand inside higher-order ones."""
-    return decode_value(F.concat(F.unhex(F.lit("0A" if isinstance(kind, T.FloatType) else "0B")), x))["float"].cast(kind)
+        return F.when(n > 0 if dialect == "rust" else F.map_contains_key(tree, key), items)
+    return decode_as(F.try_element_at(tree, key), OF_TYPE[kind.simpleString()], dialect).cast(kind)
 
 
 def unflatten(pairs: DataFrame, schema: T.StructType, dialect: str = "go", rename: dict[str, str] | None = None) -> DataFrame:
-    """(root, fields of schema) from (root, key, value) pairs: one row a root, arrays by their indexes. Floats are supported
-    outside arrays."""
+    """(root, fields of schema) from (root, key, value) pairs: one row a root, arrays by their indexes. A root's pairs are one
+    row, which is a document's unit."""
     trees = pairs.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("tree"))
     rename = rename or {}
     made = [_rebuild(F.col("tree"), f.dataType, F.concat(F.col("root"), part(F.lit(rename.get(f.name, f.name)))), dialect, rename, f.name) for f in schema.fields]
-    made = [_bits_back(c, f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c for c, f in zip(made, schema.fields, strict=True)]
     return trees.select("root", *(c.alias(f.name) for c, f in zip(made, schema.fields, strict=True)))
 
 
-def objects(kv: DataFrame, first_part: str) -> DataFrame:
-    """Rows under a first part grouped by it: the group and a map from the rest of the path to the value."""
-    found = kv.where(has_prefix("key", literal_key(first_part))).select(decode_strings("key").alias("parts"), "value")
-    entry = F.struct(F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ".").alias("path"), "value")
-    return found.groupBy(F.col("parts")[0].alias("group")).agg(F.map_from_entries(F.collect_list(entry)).alias("fields"))
+def paths_by(kv: DataFrame, depth: int) -> DataFrame:
+    """(group, path, value) of rows with more than `depth` parts: the first ones as a dotted path, and the others."""
+
+    def cut(parts: Column) -> Column:
+        return F.struct(F.array_join(F.slice(parts, 1, depth), ".").alias("group"), F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), ".").alias("path"), F.size(parts).alias("n"))
+
+    one = kv.select(F.explode(F.filter(F.array(let(decode_strings("key"), cut)), lambda c: c["n"] > depth)).alias("at"), "value")
+    return one.select("at.group", "at.path", "value")
 
 
 def objects_by(kv: DataFrame, depth: int) -> DataFrame:
-    """Rows grouped by their first `depth` parts: the group's key as a dotted path, its field count and fields."""
-    found = kv.select(decode_strings("key").alias("parts"), "value").where(F.size("parts") > depth)
-    entry = F.struct(F.array_join(F.slice("parts", F.lit(depth + 1), F.size("parts")), ".").alias("path"), "value")
-    return found.groupBy(F.array_join(F.slice("parts", 1, depth), ".").alias("group")).agg(F.count("*").alias("n_fields"), F.map_from_entries(F.collect_list(entry)).alias("fields"))
+    """Rows grouped by their first `depth` parts: the group's key as a dotted path, its field count and fields. An object is
+    one row; for groups that may be too large for that, aggregate paths_by()."""
+    entry = F.struct("path", "value")
+    return paths_by(kv, depth).groupBy("group").agg(F.count("*").alias("n_fields"), F.map_from_entries(F.collect_list(entry)).alias("fields"))
+
+
+def objects(kv: DataFrame, first_part: str) -> DataFrame:
+    """Rows under a first part grouped by it: the group and a map from the rest of the path to the value."""
+    return objects_by(kv.where(has_prefix("key", literal_key(first_part))), 1).select("group", "fields")
 
 
 def to_paths(value: object, path: tuple[str, ...] = (), markers: bool = True) -> Iterator[tuple[tuple[str, ...], object]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.functions.keys import decode_parts, encode_parts
+from kvstrata.functions.keys import part_spans
 
 
 def get(kv: DataFrame, key: bytes) -> DataFrame:
@@ -37,19 +37,22 @@ def value_sizes(kv: DataFrame) -> DataFrame:
 def nodes(kv: DataFrame) -> DataFrame:
     """Every key and every ancestor of one, with its shape: 10 value, 1 children, 11 both. One pass: a key stands for itself
     and for all its proper prefixes, and each distinct node is aggregated once."""
-    parts = decode_parts("key")
-    up = F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda n: F.struct(encode_parts(F.slice("parts", F.lit(1), n)).alias("key"), F.lit(0).alias("own")))
-    up = F.when(F.size("parts") > 1, up).otherwise(F.array().cast("array<struct<key:binary,own:int>>"))
-    own = F.array(F.struct(F.col("key"), F.lit(1).alias("own")))
-    spread = kv.select("key", parts.alias("parts")).select(F.explode(F.concat(own, up)).alias("node")).select("node.key", "node.own")
+    ends = F.transform(part_spans("key"), lambda s: s["at"] + s["size"] - 1)
+    spread = kv.select("key", F.explode(ends).alias("end")).select(F.substring("key", F.lit(1), F.col("end")).alias("key"), (F.col("end") == F.octet_length("key")).cast("int").alias("own"))
     return spread.groupBy("key").agg((10 * F.max("own") + F.max(1 - F.col("own"))).alias("shape"))
 
 
 def shape(kv: DataFrame, keys: DataFrame, faithful: bool = False) -> DataFrame:
-    """Shape of each asked key, 0 if there is no such node. `faithful`: children aren't told, so 0 or 10."""
+    """Shape of each asked key, 0 if there is no such node. `faithful`: children aren't told, so 0 or 10. Of the stored keys
+    only the prefixes as long as an asked key are looked at, one row for each prefix that is asked for."""
     if faithful:
         return exists(kv, keys).select("key", F.when(F.col("found"), 10).otherwise(0).alias("shape"))
-    return keys.select("key").distinct().join(nodes(kv), "key", "left").select("key", F.coalesce("shape", F.lit(0)).alias("shape"))
+    asked = keys.select("key").distinct()
+    lengths = asked.agg(F.array_sort(F.collect_set(F.octet_length("key"))).alias("lengths"))  # MAX_KEY of them at most
+    spread = kv.select("key").crossJoin(F.broadcast(lengths)).select(F.col("key").alias("stored"), F.explode(F.filter("lengths", lambda n: n <= F.octet_length("key"))).alias("n"))
+    spread = spread.select(F.substring("stored", F.lit(1), F.col("n")).alias("key"), (F.col("n") == F.octet_length("stored")).cast("int").alias("own"))
+    found = spread.groupBy("key").agg((10 * F.max("own") + F.max(1 - F.col("own"))).alias("shape"))
+    return asked.join(found, "key", "left").select("key", F.coalesce("shape", F.lit(0)).alias("shape"))
 
 
 def key_only(kv: DataFrame) -> DataFrame:

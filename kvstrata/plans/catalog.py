@@ -374,9 +374,9 @@ def codec_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    kinds = {"c_custkey": ("i64", "int", "bigint"), "c_name": ("string", "string", "string"), "c_nationkey": ("i32", "int", "int"), "c_acctbal": ("f64", "float", "double")}
-    coded = c.select(*(codec.encode_value(F.col(n), k).alias(n) for n, (k, _, _) in kinds.items()))
-    return coded.select(*(codec.decode_value(F.col(n))[f].cast(t).alias(n) for n, (_, f, t) in kinds.items()))
+    kinds = {"c_custkey": ("i64", "bigint"), "c_name": ("string", "string"), "c_nationkey": ("i32", "int"), "c_acctbal": ("f64", "double")}
+    coded = c.select(*(codec.encode_value(F.col(n), k).alias(n) for n, (k, _) in kinds.items()))
+    return coded.select(*(codec.decode_as(F.col(n), k).cast(t).alias(n) for n, (k, t) in kinds.items()))
 
 
 @query("SELECT 'c_acctbal' AS field, 9 AS size, count(*) AS n FROM customer UNION ALL SELECT 'c_custkey', 9, count(*) FROM customer UNION ALL SELECT 'c_nationkey', 5, count(*) FROM customer UNION ALL SELECT 'c_name', CAST(1 + octet_length(encode(c_name)) AS INTEGER), count(*) FROM customer GROUP BY 2")
@@ -433,9 +433,15 @@ def doc_json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'customer.' || CAST(o_custkey AS VARCHAR) AS \"group\", count(*) AS n_fields, hex(encode(max(CASE WHEN o_orderkey = f THEN o_orderstatus END))) AS first_status FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS f FROM orders) GROUP BY o_custkey")
 def query_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = documents.objects_by(orders_kv(spark, sf_dir), 2)
-    numbers = F.transform(F.map_keys("fields"), lambda p: F.substring_index(p, ".", -1).cast("bigint"))
-    return made.select("group", "n_fields", F.hex(F.element_at("fields", F.concat(F.lit("order."), F.array_min(numbers).cast("string")))).alias("first_status"))
+    orders = documents.paths_by(orders_kv(spark, sf_dir), 2).withColumn("number", F.substring_index("path", ".", -1).cast("bigint"))
+    return orders.groupBy("group").agg(F.count("*").alias("n_fields"), F.hex(F.min_by("value", "number")).alias("first_status"))
+
+
+@query("SELECT 'region.' || r_name AS \"group\", count(*) AS n_fields, string_agg('nation.' || n_name || '=' || CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_name) AS fields FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def query_objects_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = documents.objects_by(nations_kv(spark, sf_dir), 2)
+    fields = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+    return made.select("group", "n_fields", F.array_join(fields, ",").alias("fields"))
 
 
 @query("SELECT 'region' AS \"group\", CAST(count(*) AS INTEGER) AS n_fields FROM nation")

@@ -1,10 +1,13 @@
 import datetime
 import math
+import random
+import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from kvstrata.functions.codec import decode_value, encode_value
+from kvstrata.functions.codec import decode_as, decode_value, encode_value
 
 
 def one(spark, column):
@@ -41,9 +44,12 @@ def test_bytes(spark, value, spark_type, kind, expected):
 
 
 def test_integers_come_back(spark):
-    for kind, low, high in (("i8", -128, 127), ("u8", 0, 255), ("i16", -32768, 32767), ("u16", 0, 65535), ("i32", -(2**31), 2**31 - 1), ("u32", 0, 2**32 - 1), ("i64", -(2**63), 2**63 - 1), ("u64", 0, 2**64 - 1)):
-        for n in (low, high, 0):
-            assert one(spark, decode_value(encode_value(F.lit(str(n)).cast("decimal(20,0)"), kind))["int"]) == n
+    limits = {"i8": (-128, 127), "u8": (0, 255), "i16": (-32768, 32767), "u16": (0, 65535), "i32": (-(2**31), 2**31 - 1), "u32": (0, 2**32 - 1), "i64": (-(2**63), 2**63 - 1), "u64": (0, 2**64 - 1)}
+    asked = [(kind, n) for kind, ends in limits.items() for n in (*ends, 0)]
+    rows = spark.createDataFrame([(k, kind, Decimal(n)) for k, (kind, n) in enumerate(asked)], "k int, kind string, n decimal(20,0)")
+    coded = F.coalesce(*(F.when(F.col("kind") == kind, encode_value(F.col("n"), kind)) for kind in limits))
+    found = rows.select("k", decode_value(coded)["int"].alias("n")).collect()
+    assert [r.n for r in sorted(found)] == [n for _, n in asked]
 
 
 def test_floats_come_back(spark):
@@ -52,6 +58,32 @@ def test_floats_come_back(spark):
     assert got[:4] == [0.1, -0.0, 1e308, math.inf] and math.copysign(1, got[1]) < 0 and math.isnan(got[4]) and got[5] is None
 
 
+@pytest.mark.parametrize("kind, number, code", [("f64", "double", "d"), ("f32", "float", "f")])
+def test_float_bits(spark, kind, number, code):
+    """Every exponent, the ends of every format, and random patterns, against the machine's own."""
+    rng = random.Random(1)
+    width, fraction = struct.calcsize(code), {"d": 52, "f": 23}[code]
+    patterns = [e << fraction | f for e in range(1 << (8 * width - 1 - fraction)) for f in (0, 1, (1 << fraction) - 1, rng.getrandbits(fraction))]
+    patterns = [p | s << (8 * width - 1) for p in patterns for s in (0, 1)]
+    values = [struct.unpack(f"<{code}", p.to_bytes(width, "little"))[0] for p in patterns]
+    df = spark.createDataFrame(list(enumerate(values)), f"i int, x {number}")
+    coded = df.select("i", "x", encode_value(F.col("x"), kind).alias("b"))
+    for r in coded.select("i", "b", decode_as(F.col("b"), kind).alias("back")).collect():
+        x = values[r.i]
+        if math.isnan(x):
+            assert math.isnan(r.back)
+        else:
+            assert bytes(r.b)[1:] == struct.pack(f"<{code}", x) and r.back == x and math.copysign(1, r.back) == math.copysign(1, x)
+
+
+def test_decode_as_takes_any_number(spark):
+    b = lambda v, k: encode_value(F.lit(v), k)
+    assert one(spark, decode_as(b(-3, "i16"), "i64")) == -3 and one(spark, decode_as(b(2**63 - 1, "u64"), "u64")) == 2**63 - 1
+    assert one(spark, decode_as(b(1.5, "f32"), "f64")) == 1.5 and one(spark, decode_as(b("x", "string"), "i64")) is None
+    assert one(spark, decode_as(F.unhex(F.lit("00")), "string")) is None and one(spark, decode_as(F.unhex(F.lit("")), "f64")) is None
+    assert one(spark, F.transform(F.array(F.lit(0.1), F.lit(-2.5)), lambda x: decode_as(encode_value(x, "f64"), "f64"))) == [0.1, -2.5]
+
+
 def test_dialects(spark):
     t = F.timestamp_micros(F.lit(1705314600000000))
     assert one(spark, F.hex(encode_value(t, "datetime", "csharp"))) == "0E008457EDB415DC08"

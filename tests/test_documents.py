@@ -1,3 +1,4 @@
+import datetime
 import json
 
 from pyspark.sql import Row
@@ -36,7 +37,7 @@ def test_pair_counts_and_markers(spark):
     renamed = D.flatten(with_address, make_key(F.lit("p")), rename={"Name": "person_name"})
     assert literal_key("p", "person_name") in {bytes(r.key) for r in renamed.collect()}
     assert D.unflatten(renamed, with_address.schema, rename={"Name": "person_name"}).first()["Name"] == "Alice"
-    assert D.flatten(df, make_key(F.lit("p")), dialect="rust").count() == 2
+    assert D.flatten(df, make_key(F.lit("p")), dialect="rust").count() == 3, "without markers, and every null is a leaf, that of the container too"
 
 
 def test_nested_arrays(spark):
@@ -45,6 +46,45 @@ def test_nested_arrays(spark):
     assert back["m"] == [[1, 2], [], [3]] and [(x.k, x.n) for x in back["s"]] == [("a", 1), ("b", 2)]
 
 
+NESTED = "f array<double>, g struct<x:double,y:float,z:struct<w:array<float>>>, n array<int>, m array<array<bigint>>, s array<struct<k:string,d:double>>, t timestamp, e array<string>, o struct<a:int>"
+
+
+def nested(spark):
+    moment = datetime.datetime(2024, 1, 15, 10, 30)
+    rows = [
+        ([1.5, -0.25, 1e300], Row(2.5, 0.5, Row([1.0, 2.0])), [1, None, 3], [[1], [2**40, -3]], [Row("a", 0.1), Row(None, -1.0)], moment, ["", "é"], Row(1)),
+        ([None, 2.0], Row(None, -1.5, None), [None, 7], [None, [5]], [None, Row("b", None)], None, [None, "x"], None),
+        (None, None, None, None, None, None, None, Row(None)),
+    ]
+    return spark.createDataFrame(rows, NESTED).withColumn("i", F.monotonically_increasing_id())
+
+
+def rebuilt(spark, dialect):
+    df = nested(spark)
+    key = make_key(F.lit("r"), F.col("i").cast("string"))
+    columns = [c for c in df.columns if c != "i"]
+    back = D.unflatten(D.flatten(df, key, columns, dialect), df.select(*columns).schema, dialect)
+    assert back.drop("root").schema.simpleString() == df.select(*columns).schema.simpleString()
+    return [r.asDict(True) for r in back.orderBy("root").drop("root").collect()], [r.asDict(True) for r in df.orderBy("i").drop("i").collect()]
+
+
+def test_floats_and_nulls_anywhere(spark):
+    for dialect in ("go", "csharp"):
+        got, expected = rebuilt(spark, dialect)
+        assert got == expected
+
+
+def test_trees_without_markers(spark):
+    df = nested(spark).drop("t").withColumn("t", F.lit(None).cast("int"))
+    columns = [c for c in df.columns if c not in ("i", "t")]
+    back = D.unflatten(D.flatten(df, make_key(F.lit("r"), F.col("i").cast("string")), columns, "rust"), df.select(*columns).schema, "rust")
+    assert [r.asDict(True) for r in back.orderBy("root").drop("root").collect()] == [r.asDict(True) for r in df.select(*columns, "i").orderBy("i").drop("i").collect()]
+    empty = spark.createDataFrame([([], Row([]), 1)], "a array<int>, b struct<c:array<string>>, d int")
+    assert D.unflatten(D.flatten(empty, make_key(F.lit("x")), dialect="rust"), empty.schema, "rust").drop("root").first() == Row(a=None, b=None, d=1)
+    pairs = D.flatten(spark.createDataFrame([(None, Row(None))], "a array<int>, b struct<c:string>"), make_key(F.lit("x")), dialect="rust")
+    assert sorted((bytes(r.key), bytes(r.value)) for r in pairs.collect()) == [(literal_key("x", "a"), b"\0"), (literal_key("x", "b", "c"), b"\0")]
+
+
 def test_json_trees(spark):
     docs = ['{"a": 1, "b": {"c": [true, null, "x"], "d": {}}, "e": "s"}', "[1, [2, 3]]", '"scalar"']
     df = spark.createDataFrame(list(enumerate(docs)), "i int, j string")
