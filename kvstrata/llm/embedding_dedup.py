@@ -1,7 +1,8 @@
 """Near-duplicates among embeddings: spherical k-means cells, blocked cosine products inside cells.
 
-Centroids are fitted on a bounded sample of SAMPLE rows (the smallest hashes of ids); its dense spots become centroids of
-their own. Every row is then assigned: to the cell of its nearest centroid, its home, and as a guest to each cell whose
+Centroids are fitted on a bounded sample, EACH rows for every cell and SAMPLE at least (those with the smallest hashes of
+ids); dense spots among SAMPLE of them become centroids of their own. There are as many cells as give CELL_ROWS rows of a
+label to each, CELLS at most, so the sample and the centroids that tasks get are bounded too. Every row is then assigned: to the cell of its nearest centroid, its home, and as a guest to each cell whose
 border is nearer than half the distance of two vectors at the limit's angle. Blocks of bounded size of a cell's rows are multiplied with blocks of its home rows. Rows within half the limit's
 angle of the centroid are all linked with each other, so they are counted without being multiplied, less those of their own id; that keeps a cell
 with a large share of all rows linear. Counts are summed by id, blocks give spanning links, and groups are their components.
@@ -30,6 +31,7 @@ from kvstrata.llm.components import connected_components, forest
 from kvstrata.llm.storage import Scratch
 
 SAMPLE = 4096
+CELLS, EACH = 4096, 16
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
 LIMIT = 0.93
@@ -48,21 +50,24 @@ def fit(x: np.ndarray, cells: int, limit: float, rounds: int = 8) -> np.ndarray:
     if not len(x):
         return np.zeros((1, 1))
     near = math.cos(math.acos(limit) / 2)
-    close = x @ x.T >= near
-    fixed, free = [], np.ones(len(x), bool)
-    while (n := (close & free).sum(1) * free).max() >= max(16, len(x) // 200):
+    few = x[:SAMPLE]
+    close = few @ few.T >= near
+    fixed, free = [], np.ones(len(few), bool)
+    while (n := (close & free).sum(1) * free).max() >= max(16, len(few) // 200):
         members = close[n.argmax()] & free
-        fixed.append(x[members].mean(0))
+        fixed.append(few[members].mean(0))
         free &= ~members
     rest = x[np.random.default_rng(7).permutation(len(x))[: max(1, cells - len(fixed))]]
     c = np.concatenate([np.array(fixed).reshape(-1, x.shape[1]), rest])
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     for _ in range(rounds):
-        home = (x @ c.T).argmax(1)
-        for j in range(len(fixed), len(c)):
-            total = x[home == j].sum(0)
-            if (size := np.linalg.norm(total)) > 1e-9:
-                c[j] = total / size
+        home = np.concatenate([(x[k : k + SAMPLE] @ c.T).argmax(1) for k in range(0, len(x), SAMPLE)])
+        order = np.argsort(home, kind="stable")
+        found, first = np.unique(home[order], return_index=True)
+        total = np.add.reduceat(x[order], first, axis=0)
+        size = np.linalg.norm(total, axis=1)
+        moved = (found >= len(fixed)) & (size > 1e-9)
+        c[found[moved]] = total[moved] / size[moved, None]
     return c
 
 
@@ -76,13 +81,15 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec
     sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
     centres = {}
     for width, n, labels in sizes:
-        sample = rows.where(F.col("width") == width).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-        centres[width] = fit(units(sample["v"], width), min(SAMPLE // 16, max(1, math.ceil(n / max(1, labels) / CELL_ROWS))), limit)
+        cells = min(CELLS, max(1, math.ceil(n / max(1, labels) / CELL_ROWS)))
+        sample = rows.where(F.col("width") == width).orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, EACH * cells)).select("v").toArrow()
+        centres[width] = fit(units(sample["v"], width), cells, limit)
     shared = spark.sparkContext.broadcast(centres)
     near = math.cos(math.acos(limit) / 2) + 1e-9
 
-    def margins(c: np.ndarray) -> np.ndarray:
-        apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    def margins(c: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        """How much nearer than each other centroid a row of these homes must be to have no link across."""
+        apart = np.sqrt(np.maximum(0, 2 - 2 * c[homes] @ c.T))
         return apart * (0.5 * math.sqrt(2 - 2 * limit)) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +97,18 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec
             widths = batch.column("width").to_numpy()
             for width in np.unique(widths):
                 part = batch.take(pa.array(np.flatnonzero(widths == width)))
-                c, x = shared.value[int(width)], units(part.column("v"), int(width))
-                s = x @ c.T
-                home = s.argmax(1)
-                core = s.max(1) >= near
-                there = s.max(1, keepdims=True) - s <= margins(c)[home]
-                there[np.arange(len(x)), home] = True
-                row, cell = np.nonzero(there)
-                took = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array(core[row])], names=[*took.schema.names, "cell", "home", "core"])
+                c = shared.value[int(width)]
+                for k in range(0, part.num_rows, step := max(1, (1 << 20) // len(c))):
+                    some = part.slice(k, step)
+                    x = units(some.column("v"), int(width))
+                    s = x @ c.T
+                    home = s.argmax(1)
+                    core = s.max(1) >= near
+                    there = s.max(1, keepdims=True) - s <= margins(c, home)
+                    there[np.arange(len(x)), home] = True
+                    row, cell = np.nonzero(there)
+                    took = some.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array(core[row])], names=[*took.schema.names, "cell", "home", "core"])
 
     placed = scratch.keep(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("core", T.BooleanType())])))
     at_home, probes = F.col("cell") == F.col("home"), (F.col("cell") != F.col("home")) | ~F.col("core")
@@ -123,7 +133,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec
             guest = x_home != cell
             if guest.any():  # a pair of two cells counts in the lower one, or in the one where it meets at all
                 s = y @ c.T
-                met = s[:, [cell]] - s <= margins(c)[cell]
+                met = s[:, [cell]] - s <= margins(c, np.array([cell]))
                 linked &= ~guest[:, None] | (cell < x_home)[:, None] | ~met[:, x_home].T
             a, b = np.nonzero(linked)
             both = guest[a] | y_core[b]  # other pairs come again with their ends exchanged
