@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -91,3 +92,68 @@ def check_pieces(rows, ids_of: dict[int, bytes], longest: int = 2048) -> int:
         fill[r.sequence_id] += r.length
     assert all(n <= longest for n in fill.values())
     return sum(0 if n & (n - 1) == 0 else longest - n for n in fill.values())
+
+
+class ArticleText(HTMLParser):
+    """Text of the article elements of a page, blocks joined by one space, by the standard library's parser."""
+
+    BREAKS = frozenset("article p br h1 h2 h3 ul ol li div blockquote".split())
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in self.BREAKS:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.parts.append(" ")
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+    def text(self) -> str:
+        return " ".join("".join(self.parts).split())
+
+
+def path_nodes(page: str) -> list[tuple[str, str]]:
+    """(tag path, text) of a well-formed page of block elements, by the standard library's parser."""
+    found, stack = [], ["html"]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append(tag)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                found.append(("/".join(stack), data))
+
+    Reader().feed(page)
+    return found
+
+
+def passing_nodes(nodes: list[tuple[str, str]]) -> list[bool]:
+    """Which nodes' smoothed tag-path ratio reaches half of the page's mean, written down from the definition."""
+    length = [len("".join(t.split())) for _, t in nodes]
+    marks = [sum(t.count(c) for c in ".,;:!?") for _, t in nodes]
+
+    def ratio(path: str) -> float:
+        mine = [k for k, (p, _) in enumerate(nodes) if p == path]
+        return sum(length[k] for k in mine) / len(mine) * (0.1 + sum(marks[k] for k in mine) / len(mine))
+
+    plain = [ratio(p) for p, _ in nodes]
+    smooth = []
+    for k in range(len(nodes)):
+        around = [plain[i] for i in (k - 1, k, k + 1) if 0 <= i < len(nodes)]
+        smooth.append((plain[k] + sum(around)) / (1 + len(around)))
+    return [x >= sum(smooth) / len(smooth) / 2 for x in smooth]

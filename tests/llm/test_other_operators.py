@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from fractions import Fraction
 from itertools import groupby
 
@@ -16,6 +17,7 @@ from kvstrata.llm.sentencepiece_codec import CharMap, PieceModel, encode_documen
 from kvstrata.llm.storage import Scratch
 from kvstrata.llm.topk import ABSENT, MOST, Tree, laid_out, scaled, top_k
 from tests.llm import brute
+from tests.llm.brute import ArticleText, passing_nodes, path_nodes
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁ b", "x▁▁ y ", "\n", "a\nb", "é日本𝄞 \u0000 z", "  lead", "trail  ", "\t tab", "<s> </s> <0x41>", " x", "😀" * 5]
 
@@ -184,9 +186,58 @@ def test_html_returns_all_content(page, expected):
     assert main_text(page) == expected.strip()
 
 
+@pytest.mark.parametrize("mark", ['class="content has-sidebar"', 'class="layout-with-sidebar"', 'class="side-by-side"', 'class="search-results-page"', 'id="legal-article"', 'class="sidebar"'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_html_wrapper_of_the_whole_page(mark, inner):
+    assert main_text(f"<body><nav><a href=/>Home</a></nav><div {mark}>{inner.format(BODY)}</div><footer>2020</footer></body>") == PLAIN
+
+
+def test_html_forms_and_own_headers():
+    assert main_text(f'<form id="aspnetForm"><nav><a href=/>Home</a></nav><div>{BODY}</div><footer>2020</footer></form>') == PLAIN
+    assert main_text(f"<body><div>{BODY}</div><form><label>Your name, please</label><p>Write to us.</p></form></body>") == PLAIN
+    assert main_text(f'<div><div class="post-header"><h1>Head</h1></div>{BODY}</div>') == f"Head {PLAIN}"
+    assert main_text(f"<header><h1>Site</h1></header><article><header><h1>Head</h1></header>{BODY}</article>") == f"Head {PLAIN}"
+
+
+def test_html_odd_markup():
+    assert main_text(f'{BODY}<p title="a > b, it">x, y.</p><a "b>c</a><p>d</p> <b') == f"{PLAIN} x, y. c d"
+    assert main_text(f"<p class='unclosed>{LONG}</p><p>{LONG}</p>") == (LONG * 2).strip()
+    assert main_text("<b>" * 3000 + LONG + "</i>" * 3000) == LONG.strip()
+    for piece in ('<a "', "</p", "<a b='", '<a x="y\' ', "<!--", "<", '<a b=">"', "<p>", "<script>"):
+        began = time.perf_counter()
+        main_text(piece * 20000)
+        assert time.perf_counter() - began < 5, piece
+
+
+def test_html_ratios_are_those_of_the_definition():
+    rng = random.Random(21)
+    for _ in range(200):
+        blocks = []
+        for _ in range(rng.randrange(2, 9)):
+            words = " ".join(rng.choice(["word", "and", "text,", "end.", "more;"]) for _ in range(rng.randrange(1, 40)))
+            blocks.append(rng.choice(["<p>{}</p>", "<div><p>{}</p></div>", "<section><div>{}</div></section>", "<blockquote>{}</blockquote>"]).format(words))
+        page = "<body>" + "".join(blocks) + "</body>"
+        nodes = path_nodes(page.replace("<body>", "").replace("</body>", ""))
+        passing = passing_nodes(nodes)
+        got = main_text(page)
+        at = 0
+        for (_, text), yes in zip(nodes, passing, strict=True):
+            if yes:
+                at = got.index(text, at) + len(text)
+
+
+def test_html_articles_of_the_pages_table(spark):
+    found = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = {r.page_id: r.html for r in found.collect()}
+    got = {r.page_id: r.text for r in extract(found).collect()}
+    assert got == {i: ArticleText(h or "").text() for i, h in pages.items()} and len(got) > 200
+
+
 def test_html_odd_rows(spark):
-    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "plain < text"), (5, "u", "<p>" + "word, " * 50000)], "page_id bigint, url string, html string")
-    got = {r.page_id: r.text for r in extract(df).collect()}
+    df = spark.createDataFrame([(1, "u", None, 7), (2, None, "", 7), (None, "u", "<p>x", 7), (4, "u", "plain < text", 7), (4, "u", "plain < text", 7), (5, "u", "<p>" + "word, " * 50000, 7)], "page_id bigint, url string, html string, text int")
+    rows = extract(df).collect()
+    got = {r.page_id: r.text for r in rows}
+    assert len(rows) == 6
     assert got[1] == "" and got[2] == "" and got[None] == "x" and got[4] == "plain < text" and len(got[5]) == 299999
     assert extract(df.limit(0)).count() == 0
 
