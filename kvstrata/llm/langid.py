@@ -26,6 +26,8 @@ UND = "und"
 GRAM_BITS = 15
 SMOOTHING = 0.5
 ROUNDS = 12
+#: Bytes of text (or one longer text) that a task works on at a time.
+SLICE = 1 << 18
 #: Floors lie so many deviations below the mean, and as many of a mean over letters of which RUN vary together.
 FLOOR_SIGMAS = 3.0
 RUN = 16
@@ -65,7 +67,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = text_bytes(part.column("text"))
                 at, codes = grams(data, offsets)
                 bound = np.searchsorted(at, offsets)
@@ -192,7 +194,7 @@ def document_sums(labelled: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         total = np.zeros((len(model.langs), 3))
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = text_bytes(part.column("text"))
                 at, codes = grams(data, offsets)
                 bound = np.searchsorted(at, offsets)
@@ -222,7 +224,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", SLICE):
                 text = part.column("text").fill_null("")
                 data, offsets = text_bytes(text)
                 which, score, shares, fits = model.predict(data, offsets)

@@ -49,8 +49,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 SLACK = 0.17
 PARTNERS = 4096
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-COLUMNS = 4096
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+COLUMNS = 1024
+#: Bytes of texts, sketches or sets (or of one longer one) that a task works on at a time.
+SLICE = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,7 +133,7 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1_000_000):
+        for part in slices(batch, "text", SLICE):
             values, sizes = sets(part.column("text"))
             sketch = registers(values, sizes)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums(values, sizes)), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["id", "n", "h1", "h2", "sketch"])
@@ -148,7 +150,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted shingle hashes of the rows whose text is their node's."""
     for batch in batches:
-        for part in slices(batch, "text", 1_000_000):
+        for part in slices(batch, "text", SLICE):
             values, sizes = sets(part.column("text"))
             h1, h2 = sums(values, sizes)
             mine = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
@@ -157,10 +159,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(mine)), pa.array(hashes, pa.binary())], names=["node", "hashes"])
 
 
-def _by_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def _by_centre(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows of beside() with the places of partners and of the centre of each, which may have come batches before."""
     centre = None
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, column, SLICE)):
         t = pa.Table.from_batches([batch] if centre is None else [centre, batch]).combine_chunks()
         is_centre = t["b"].is_null().to_numpy()
         a, at = t["a"].to_numpy(), np.maximum.accumulate(np.where(is_centre, np.arange(t.num_rows), 0))
@@ -185,17 +187,13 @@ def _pairs(t: pa.Table, places: np.ndarray) -> pa.RecordBatch:
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = LIMIT[0] / LIMIT[1] - SLACK
-    for t, partner, centre in _by_centre(batches):
+    for t, partner, centre in _by_centre(batches, "sketch"):
         n, sketch = t["n"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-        kept = [np.zeros(0, np.int64)]
-        for k in range(0, len(partner), COLUMNS):
-            p, c = partner[k : k + COLUMNS], centre[k : k + COLUMNS]
-            kept.append(p[estimate(sketch[c], sketch[p], n[c], n[p]) >= least])
-        yield _pairs(t, np.concatenate(kept))
+        yield _pairs(t, partner[estimate(sketch[centre], sketch[partner], n[centre], n[partner]) >= least])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, partner, centre in _by_centre(batches):
+    for t, partner, centre in _by_centre(batches, "hashes"):
         hashes, keep = t["hashes"], []
         of, x = -1, None
         for p, c in zip(partner.tolist(), centre.tolist(), strict=True):

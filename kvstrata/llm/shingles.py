@@ -9,6 +9,7 @@ WORD_SPACE = np.zeros(256, bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+CHUNK = 1 << 18
 #: Two families of hashes that share nothing.
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _STEPS = np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25)
@@ -46,11 +47,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
-    """A polynomial hash of each word's bytes, taken from prefix sums of the whole buffer."""
-    up, down = _power(len(data) + 1, _BASES[family])
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A polynomial hash of each word's bytes, taken from prefix sums over CHUNK bytes (or one longer word) at a time."""
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        at = begin[i]
+        j = max(i + 1, int(np.searchsorted(end, at + CHUNK, "right")))
+        some = data[at : end[j - 1]]
+        up, down = _power(len(some) + 1, _BASES[family])
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(_BYTE[some] * up[: len(some)], out=sums[1:])
+        b, e = begin[i:j] - at, end[i:j] - at
+        out[i:j] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+        i = j
+    return out
 
 
 def windows(hashes: np.ndarray, size: int, family: int = 0) -> np.ndarray:
