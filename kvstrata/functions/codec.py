@@ -1,18 +1,25 @@
 """The tagged value codec: a tag byte and a payload, low byte first.
 
 All of it is built-in expressions: the bit patterns of floats are put together from sign, exponent and fraction, which
-powers of two scale without rounding. So values can be coded inside higher-order functions, at any depth of a row.
+powers of two scale without rounding. So values can be coded inside higher-order functions, at any depth of a row. Only
+the places of values inside a whole object that was written as one value are found by an Arrow function.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvstrata.functions.keys import let, whole
 
 #: Tags of the value format: fixed values.
 TAGS = {"null": 0x00, "bool": 0x01, "u8": 0x02, "i8": 0x03, "i16": 0x04, "u16": 0x05, "i32": 0x06, "u32": 0x07, "i64": 0x08, "u64": 0x09, "f32": 0x0A, "f64": 0x0B, "string": 0x0C, "bytes": 0x0D, "datetime": 0x0E, "guid": 0x0F}
+#: Containers, in the rust dialect only, where they stand for other kinds' tags: fixed values.
+OBJECT_TAGS = {"array": 0x0E, "map": 0x0F}
 WIDTHS = {"bool": 1, "u8": 1, "i8": 1, "i16": 2, "u16": 2, "i32": 4, "u32": 4, "i64": 8, "u64": 8, "f32": 4, "f64": 8, "datetime": 8, "guid": 16}
 #: 100 ns ticks from year 1 to 1970: a fixed value of the csharp dialect.
 EPOCH_TICKS = 621355968000000000
@@ -135,6 +142,80 @@ def encode_value(x: Column, kind: str, dialect: str = "go") -> Column:
     return F.when(x.isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.concat(F.lit(tag), body)))
 
 
+def encode_object(x: Column, kind: T.DataType) -> Column:
+    """A whole row, array or scalar as one value of the rust dialect: maps of fields by name, arrays with their length."""
+    def size(n: Column) -> Column:
+        return F.unhex(little(n, 4))
+
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(size(F.octet_length(F.lit(f.name))), F.lit(f.name).cast("binary"), encode_object(x[f.name], f.dataType)) for f in kind.fields]
+        body = F.concat(F.unhex(F.lit(f"{OBJECT_TAGS['map']:02X}")), size(F.lit(len(fields))), *fields)
+    elif isinstance(kind, T.ArrayType):
+        items = F.aggregate(F.transform(x, lambda v: encode_object(v, kind.elementType)), F.unhex(F.lit("")), lambda all_, v: F.concat(all_, v))
+        body = F.concat(F.unhex(F.lit(f"{OBJECT_TAGS['array']:02X}")), size(F.size(x)), items)
+    else:
+        return encode_value(x, OF_TYPE[kind.simpleString()], "rust")
+    return F.when(x.isNull(), F.unhex(F.lit("00"))).otherwise(body)
+
+
+def decode_object(b: Column, kind: T.DataType) -> Column:
+    """What encode_object() wrote, as a column of a type. Fields may come in any order, and those that the type doesn't have
+    are passed over; bytes that aren't such a value are an error. Values inside have no fixed places, so an Arrow function
+    finds them; scalars are decoded as others are."""
+
+    def find(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else json.dumps(_found(memoryview(v), 0, kind)[0]))
+
+    def shaped(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, shaped(f.dataType)) for f in kind.fields])
+        return T.ArrayType(shaped(kind.elementType)) if isinstance(kind, T.ArrayType) else T.StringType()
+
+    def decoded(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(x.isNotNull(), F.struct(*(decoded(x[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(x, lambda v: decoded(v, kind.elementType))
+        return decode_as(F.unhex(x), OF_TYPE[kind.simpleString()], "rust").cast(kind)
+
+    whole_ = T.StructType([T.StructField("v", shaped(kind))])
+    return let(F.from_json(F.pandas_udf(find, "string")(b), whole_, {"mode": "FAILFAST"})["v"], lambda x: decoded(x, kind))
+
+
+def _found(v: memoryview, at: int, kind: T.DataType | None, top: bool = True) -> tuple[object, int]:
+    """The scalars of a value as hex in the shape of a type (nothing of what the type hasn't), and where the value ends."""
+    def number(k: int) -> int:
+        if k + 4 > len(v):
+            raise ValueError("truncated object")
+        return int.from_bytes(v[k : k + 4], "little", signed=True)
+
+    tag, start = v[at], at
+    if tag == OBJECT_TAGS["map"]:
+        out, end = {}, at + 5
+        inside = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+        for _ in range(number(at + 1)):
+            n = number(end)
+            name = bytes(v[end + 4 : end + 4 + n]).decode()
+            value, end = _found(v, end + 4 + n, inside.get(name), False)
+            if name in inside:
+                out[name] = value
+    elif tag == OBJECT_TAGS["array"]:
+        out, end = [], at + 5
+        for _ in range(number(at + 1)):
+            value, end = _found(v, end, kind.elementType if isinstance(kind, T.ArrayType) else None, False)
+            out.append(value)
+        out = out if isinstance(kind, T.ArrayType) else None
+    else:
+        names = {t: k for k, t in TAGS.items()}
+        if tag not in names:
+            raise ValueError(f"unknown value tag {tag:02X}")
+        end = at + 1 + (4 + number(at + 1) if names[tag] in ("string", "bytes") else WIDTHS.get(names[tag], 0))
+        out = None if tag == 0 or isinstance(kind, (T.StructType, T.ArrayType)) else bytes(v[start:end]).hex()
+    if end > len(v):
+        raise ValueError("truncated object")
+    return ({"v": out} if top else out), end
+
+
 def _by_tag(tag: Column, values: dict[str, Column]) -> Column:
     out = None
     for kind, value in values.items():

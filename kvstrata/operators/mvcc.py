@@ -77,9 +77,11 @@ def prune(log: DataFrame, active: Iterable[int] | None = None) -> DataFrame:
     """Versions to keep: the newest of each key, and those that a running transaction may read (not newer than the newest
     running one, of a writer that isn't running)."""
     ids = sorted(set(active or ()))
-    last = F.col("seq") == F.max("seq").over(Window.partitionBy("key"))
-    keep = last | (~F.col("txid").isin(ids) & (F.col("txid") <= ids[-1])) if ids else last
-    return log.withColumn("__keep", keep).where("__keep").drop("__keep")
+    newest_of = log.groupBy("key").agg(F.max("seq").alias("seq"))
+    if not ids:
+        return log.join(newest_of, ["key", "seq"], "left_semi")
+    readable = ~F.col("txid").isin(ids) & (F.col("txid") <= ids[-1])
+    return log.where(readable).unionByName(log.where(~readable).join(newest_of, ["key", "seq"], "left_semi"))
 
 
 def conflicts(log: DataFrame, keys: DataFrame, txid: int, active: Iterable[int] | DataFrame) -> DataFrame:
@@ -90,6 +92,25 @@ def conflicts(log: DataFrame, keys: DataFrame, txid: int, active: Iterable[int]
     return keys.select("key").distinct().join(held, "key")
 
 
+def lock(held: DataFrame, keys: DataFrame, txid: int, exclusive: bool = True) -> DataFrame:
+    """(key, granted) of the locks a transaction asks for, without waiting. `held`: (txid, key, exclusive) of all locks. One
+    that the transaction holds already, in whatever mode, is granted; else none is that meets another transaction's lock on
+    the key, unless both are shared."""
+    on = held.groupBy("key").agg(F.bool_or(F.col("txid") == txid).alias("own"), F.bool_or((F.col("txid") != txid) & (F.col("exclusive") | F.lit(exclusive))).alias("met"))
+    return keys.select("key").distinct().join(on, "key", "left").select("key", F.coalesce(F.col("own") | ~F.col("met"), F.lit(True)).alias("granted"))
+
+
+def locked(held: DataFrame, keys: DataFrame, txid: int, exclusive: bool = True) -> DataFrame:
+    """All locks after lock(): those granted that the transaction didn't hold are new, in the mode asked for."""
+    new = lock(held, keys, txid, exclusive).where("granted").select(F.lit(txid).cast("bigint").alias("txid"), "key", F.lit(exclusive).alias("exclusive"))
+    return held.select("txid", "key", "exclusive").unionByName(new.join(held.where(F.col("txid") == txid).select("key"), "key", "left_anti").select("txid", "key", "exclusive"))
+
+
+def unlocked(held: DataFrame, txid: int) -> DataFrame:
+    """All locks after a transaction has let go of its own."""
+    return held.where(F.col("txid") != txid)
+
+
 def replay(records: DataFrame) -> DataFrame:
     """State after recovery from (kind, txid, key, value, lsn): of each key the last UPDATE or DELETE of a committed transaction."""
     committed = records.where("kind = 'COMMIT'").select("txid").distinct()

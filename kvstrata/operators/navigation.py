@@ -28,6 +28,12 @@ def range_scan(kv: DataFrame, low: bytes | None = None, high: bytes | None = Non
     return (kv if high is None else kv.where(F.col("key") < F.lit(bytearray(high)))).orderBy("key")
 
 
+def peek(log: DataFrame, prefix: bytes = b"", at: bytes = b"") -> DataFrame:
+    """The key a cursor under a prefix stands on at `at` or after: the least ever written, whether or not it is visible."""
+    found = log.where(has_prefix("key", prefix))
+    return (found.where(F.col("key") >= F.lit(bytearray(at))) if at else found).agg(F.min("key").alias("key"))
+
+
 def skip_prefix(kv: DataFrame, prefix: bytes) -> DataFrame:
     """The first row after all that start with the prefix."""
     after = successor(prefix) if prefix else None

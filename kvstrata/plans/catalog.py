@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from kvstrata.functions import codec, keys
 from kvstrata.functions.keys import literal_key, make_key
 from kvstrata.operators import documents, mvcc, navigation, points
+from kvstrata.plans.store import Store
 from kvstrata.sources.log import documents_kv, events_log, nations_kv, orders_kv
+from kvstrata.sources.shipping import passing_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = 600
@@ -447,3 +449,138 @@ def query_objects_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'region' AS \"group\", CAST(count(*) AS INTEGER) AS n_fields FROM nation")
 def query_objects_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.objects(nations_kv(spark, sf_dir), "region").select("group", F.size("fields").alias("n_fields"))
+
+
+@query(f"WITH {EVENTS} SELECT hex(min(key)) AS key FROM ev WHERE key >= {_lit(literal_key('user', 8))} AND key < {_lit(keys.successor(literal_key('user')))}")
+def peek_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(navigation.peek(events_log(spark, sf_dir), literal_key("user"), literal_key("user", 8)))
+
+
+@query(
+    f"""WITH {EVENTS}, asked AS (SELECT {_key_sql("'user'", 'CAST(c_custkey AS VARCHAR)')} AS key FROM customer)
+SELECT hex(key) AS key, key NOT IN (SELECT key FROM ev WHERE txid = 14) AS shared, key NOT IN (SELECT key FROM ev WHERE txid IN (7, 14, 21)) AS exclusive,
+    key NOT IN (SELECT key FROM ev WHERE txid IN (7, 21)) AS after_release FROM asked"""
+)
+def lock_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions 7 and 21 hold shared locks on what they wrote and 14 an exclusive one, which it then gives up."""
+    held = events_log(spark, sf_dir).where("txid IN (7, 14, 21)").select("txid", "key", (F.col("txid") == 14).alias("exclusive")).distinct()
+    asked = users(spark, sf_dir)
+    found = mvcc.lock(held, asked, 35, exclusive=False).withColumnRenamed("granted", "shared")
+    found = found.join(mvcc.lock(held, asked, 35).withColumnRenamed("granted", "exclusive"), "key")
+    return shown(found.join(mvcc.lock(mvcc.unlocked(held, 14), asked, 35).withColumnRenamed("granted", "after_release"), "key"))
+
+
+def _in_dialects(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows flattened and rebuilt in each dialect."""
+    out = None
+    for dialect in codec.DIALECTS:
+        back = documents.unflatten(documents.flatten(df, _root(), columns, dialect), df.select(*columns).schema, dialect)
+        back = back.withColumn("dialect", F.lit(dialect))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(f"SELECT hex({_ROOT_SQL}) AS root, dialect, c_acctbal AS plain, CAST(CAST(c_acctbal / 3 AS FLOAT) AS DOUBLE) AS single, c_acctbal AS item0, -c_acctbal AS item1, c_acctbal / 7 AS item2 FROM customer, (VALUES ('go'), ('csharp'), ('rust')) d(dialect)")
+def doc_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance = F.col("c_acctbal")
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct(balance.alias("plain"), (balance / 3).cast("float").alias("single"), F.array(balance, -balance, balance / 7).alias("listed")).alias("f"))
+    items = (F.col("f.listed")[k].alias(f"item{k}") for k in range(3))
+    return shown(_in_dialects(df, ["f"]).select("root", "dialect", "f.plain", F.col("f.single").cast("double").alias("single"), *items))
+
+
+@query(f"SELECT hex({_ROOT_SQL}) AS root, dialect, CAST(3 AS INTEGER) AS n_items, c_custkey AS item0, true AS item1_is_null, CAST(c_nationkey AS BIGINT) AS item2, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS inner_name, c_custkey % 2 = 0 AS has_inner FROM customer, (VALUES ('go'), ('csharp'), ('rust')) d(dialect)")
+def doc_null_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("bigint")
+    inner = F.when(key % 2 == 0, F.struct(F.struct("c_name").alias("deep")))
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct(F.array(key, F.lit(None).cast("bigint"), F.col("c_nationkey").cast("bigint")).alias("items"), inner.alias("inner")).alias("o"))
+    back = _in_dialects(df, ["o"])
+    return shown(back.select("root", "dialect", F.size("o.items").alias("n_items"), F.col("o.items")[0].alias("item0"), F.col("o.items")[1].isNull().alias("item1_is_null"), F.col("o.items")[2].alias("item2"), F.col("o.inner.deep.c_name").alias("inner_name"), F.col("o.inner").isNotNull().alias("has_inner")))
+
+
+def _le_sql(n: str, width: int) -> str:
+    """Hex of a number's low bytes, low byte first."""
+    return "(" + " || ".join(f"substr(lpad(upper(to_hex(CAST({n} AS BIGINT))), 16, '0'), {k}, 2)" for k in range(15, 15 - 2 * width, -2)) + ")"
+
+
+_RUST_TEXT = "'0C' || " + _le_sql("octet_length(encode({0}))", 4) + " || hex(encode({0}))"
+
+
+@query(
+    f"""WITH c AS (SELECT {_ROOT_SQL} AS r, * FROM customer)
+SELECT hex(r) AS root, hex(r || {_bytes_sql("'name'")}) AS key, {_RUST_TEXT.format("c_name")} AS value FROM c
+UNION ALL SELECT hex(r), hex(r || {_key_sql("'more'", "'tags'", "'0'")}), {_RUST_TEXT.format("c_mktsegment")} FROM c
+UNION ALL SELECT hex(r), hex(r || {_key_sql("'more'", "'tags'", "'1'")}), {_RUST_TEXT.format("c_name")} FROM c"""
+)
+def doc_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs without markers, a field under another name and one left out."""
+    return shown(documents.flatten(_customers(spark, sf_dir), _root(), ["c_name", "more"], "rust", {"c_name": "name"}, ("more.c_nationkey",)))
+
+
+@query(
+    f"""SELECT c_custkey, '0F03000000' || '06000000' || hex(encode('c_name')) || {_RUST_TEXT.format("c_name")} || '0B000000' || hex(encode('c_nationkey')) || '06' || {_le_sql("c_nationkey", 4)}
+    || '04000000' || hex(encode('tags')) || '0E02000000' || {_RUST_TEXT.format("c_mktsegment")} || {_RUST_TEXT.format("c_name")} AS value, c_name, c_nationkey, c_mktsegment || '|' || c_name AS tags FROM customer"""
+)
+def object_as_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole objects as one value each, and back."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct("c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.array("c_mktsegment", "c_name").alias("tags")).alias("o"))
+    coded = c.select("c_custkey", codec.encode_object(F.col("o"), c.schema["o"].dataType).alias("value"))
+    return shown(coded.select("c_custkey", "value", codec.decode_object(F.col("value"), c.schema["o"].dataType).alias("o")).select("c_custkey", "value", "o.c_name", "o.c_nationkey", F.array_join("o.tags", "|").alias("tags")))
+
+
+_NUMBERS = {"u8": "p_partkey % 256", "i8": "p_partkey % 128 - 64", "i16": "-p_partkey", "u16": "p_partkey % 65536", "i32": "-1000 * p_partkey", "u32": "p_partkey + 4000000000", "i64": "-p_partkey * 1000000007", "u64": "p_partkey * 1000000007"}
+
+
+@query("SELECT p_partkey, " + ", ".join(f"'{codec.TAGS[k]:02X}' || {_le_sql(x, codec.WIDTHS[k])} AS {k}, CAST({x} AS BIGINT) AS {k}_back" for k, x in _NUMBERS.items()) + " FROM part")
+def codec_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("bigint").alias("p_partkey"))
+    coded = p.select("p_partkey", *(codec.encode_value(F.expr(x), k).alias(k) for k, x in _NUMBERS.items()))
+    back = (codec.decode_value(F.col(k))["int"].cast("bigint").alias(f"{k}_back") for k in _NUMBERS)
+    return shown(coded.select("p_partkey", *_NUMBERS, *back))
+
+
+_MICROS = "(1700000000000000 + event_id * 1000003)"
+
+
+@query(
+    f"""SELECT event_id, '0E' || {_le_sql(f'{_MICROS} * 1000', 8)} AS go_time, '0E' || {_le_sql(f'{_MICROS} * 10 + {codec.EPOCH_TICKS}', 8)} AS csharp_time, {_MICROS} AS go_back, {_MICROS} AS csharp_back,
+    '0F' || md5(event_type) AS go_guid, {_RUST_TEXT.format("event_type")} AS rust_text, '0D' || {_le_sql('octet_length(encode(event_type))', 4)} || hex(encode(event_type)) AS bytes, event_type AS rust_back FROM events"""
+)
+def codec_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    moment = F.timestamp_micros(F.expr(_MICROS))
+    times = {d: codec.encode_value(moment, "datetime", d) for d in ("go", "csharp")}
+    text = codec.encode_value(F.col("event_type"), "string", "rust")
+    guid = F.hex(codec.encode_value(F.unhex(F.md5("event_type")), "guid"))
+    coded = e.select("event_id", "event_type", *(x.alias(f"{d}_time") for d, x in times.items()), F.concat(F.substring(guid, 1, 2), F.lower(F.substring(guid, F.lit(3), F.lit(32)))).alias("go_guid"), text.alias("rust_text"), codec.encode_value(F.col("event_type").cast("binary"), "bytes").alias("bytes"))
+    back = (F.unix_micros(codec.decode_as(F.col(f"{d}_time"), "datetime", d)).alias(f"{d}_back") for d in times)
+    return shown(coded.select("event_id", "go_time", "csharp_time", *back, "go_guid", "rust_text", "bytes", codec.decode_as(F.col("rust_text"), "string", "rust").alias("rust_back")))
+
+
+@query(f"{NATIONS} SELECT hex(key) AS key, CASE WHEN hex(key) LIKE '{literal_key('region', 'ASIA').hex().upper()}%' THEN hex(encode('new')) ELSE hex(value) END AS value FROM kv WHERE hex(key) NOT LIKE '{literal_key('region', 'EUROPE').hex().upper()}%'")
+def store_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is written, changed, left with a rolled-back and an unfinished transaction, opened again and compacted."""
+    kv, path = nations_kv(spark, sf_dir), passing_folder(spark, "store")
+    store = Store.create(spark, path)
+    with store.transaction() as txn:
+        store.set(txn, kv)
+    with store.transaction() as txn:
+        store.set(txn, kv.where(keys.has_prefix("key", literal_key("region", "ASIA"))).withColumn("value", F.lit("new").cast("binary")))
+        store.delete(txn, kv.where(keys.has_prefix("key", literal_key("region", "EUROPE"))).select("key"))
+    undone = store.begin()
+    store.set(undone, kv.withColumn("value", F.lit("undone").cast("binary")))
+    undone.rollback()
+    store.set(store.begin(), kv.withColumn("value", F.lit("unfinished").cast("binary")))
+    again = Store.open(spark, path)
+    again.compact()
+    return shown(again.snapshot())
+
+
+@query(f"WITH {EVENTS}, o AS (SELECT * FROM ev WHERE txid <= 600), s AS (SELECT *, 'strict' AS mode FROM o WHERE txid % 7 <> 0 AND txid NOT IN (590, 595) UNION ALL SELECT *, 'relaxed' FROM o WHERE txid % 7 <> 0) SELECT mode, hex(key) AS key, hex(value) AS value FROM (SELECT *, row_number() OVER (PARTITION BY mode, key ORDER BY seq DESC) AS n FROM s) WHERE n = 1 AND NOT is_tombstone")
+def isolation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions 590 and 595 were running at the reader's begin and commit before it reads."""
+    log = events_log(spark, sf_dir)
+    never = log.where("txid % 7 = 0").select("txid").distinct()
+    at_begin = never.unionByName(log.where("txid IN (590, 595)").select("txid")).distinct()
+    modes = (mvcc.visible(log, AS_OF, hidden).select(F.lit(mode).alias("mode"), "key", "value") for mode, hidden in (("strict", at_begin), ("relaxed", never)))
+    strict, relaxed = modes
+    return shown(strict.unionByName(relaxed))

@@ -1,21 +1,32 @@
 """A transactional key-value store as two append-only Parquet tables.
 
-Writes append rows to kv_log; a transaction's fate is one small file appended to txn_log, which is the only thing a commit
-writes. Reads are lazy frames over both. Transaction ids are given out by the driver.
+Writes append rows to the log; a transaction's fate is one small file appended to txn_log, which is the only thing a commit
+writes. Reads are lazy frames over both. Numbers of writes and transactions are given out by drivers, one at a time: who
+gives one out holds a lock file, which a file system creates for one only. The log's folder is named in a small file that
+compaction replaces in one step, so a crash leaves either the old log or the new one.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from contextlib import contextmanager, suppress
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvstrata.functions.codec import decode_object, encode_object
 from kvstrata.functions.keys import MAX_KEY
 from kvstrata.operators import documents, mvcc, navigation, points
 from kvstrata.sources.log import ACTIVE, COMMITTED, LOG, ROLLED_BACK, TXN, append_log, read_log, write_sorted
+from kvstrata.sources.shipping import hadoop_path
+
+LOCK_SECONDS = 60.0
 
 
 class ConflictError(Exception):
@@ -28,10 +39,18 @@ class NotFoundError(KeyError):
 
 @dataclass(frozen=True)
 class Config:
-    """Writer options. Limits on versions, subscripts, records and concurrent transactions aren't needed here and not enforced."""
+    """Options of a store, written when it is created and read when it is opened. The compression of files, the longest key
+    and the number of running transactions (0: any) hold; the others describe a paged store, and are kept and not enforced."""
 
     compression: str = "zstd"
     max_key_size: int = MAX_KEY
+    max_transactions: int = 0
+    max_versions: int = 64
+    max_subscripts: int = 16
+    max_record_size: int = 16384
+    page_size: int = 4096
+    buffer_pages: int = 256
+    flags: int = 0
 
 
 @dataclass
@@ -56,22 +75,73 @@ class Store:
     def create(cls, spark: SparkSession, path: str, config: Config | None = None) -> Store:
         """An empty store; what was at the path is overwritten."""
         store = cls(spark, path, config or Config())
+        at, files = hadoop_path(spark, store.path)
+        files.delete(at, True)
+        files.mkdirs(at)
+        store._put("config", json.dumps(asdict(store.config)))
+        store._put("current", "kv_log")
         for name, schema in (("kv_log", LOG), ("txn_log", TXN)):
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store.path}/{name}")
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config | None = None) -> Store:
-        """An existing store. Transactions that were running when it was left are rolled back for good."""
+        """An existing store, with the options it was created with unless others are given. Transactions that were running
+        when it was left are rolled back for good, and a lock that was left behind goes."""
         store = cls(spark, path, config or Config())
+        store.config = config or Config(**json.loads(store._text("config")))
+        at, files = hadoop_path(spark, f"{store.path}/lock")
+        files.delete(at, False)
         running = store.active()
         if running:
             store._note([(t, ROLLED_BACK) for t in running])
         return store
 
+    def _text(self, name: str) -> str:
+        at, files = hadoop_path(self.spark, f"{self.path}/{name}")
+        stream = files.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        """Writes a small file whole: under another name, which then replaces it in one step."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        new, files = hadoop_path(self.spark, f"{self.path}/{name}.new")
+        out = files.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(new, hadoop_path(self.spark, f"{self.path}/{name}")[0], options)
+
+    @contextmanager
+    def _alone(self):
+        """Holds the lock file while numbers are given out and used."""
+        at, files = hadoop_path(self.spark, f"{self.path}/lock")
+        until = time.monotonic() + LOCK_SECONDS
+        while True:
+            with suppress(Py4JJavaError):  # another has just created it
+                if files.createNewFile(at):
+                    break
+            if time.monotonic() > until:
+                raise ConflictError("another writer holds the store's lock")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            files.delete(at, False)
+
+    @property
+    def _log_path(self) -> str:
+        return f"{self.path}/{self._text('current')}"
+
     @property
     def log(self) -> DataFrame:
-        return read_log(self.spark, f"{self.path}/kv_log")
+        return read_log(self.spark, self._log_path)
 
     @property
     def transactions(self) -> DataFrame:
@@ -86,11 +156,52 @@ class Store:
         return [r[0] for r in self.transactions.where(F.col("state") == ACTIVE).select("txid").collect()]
 
     def begin(self) -> Transaction:
-        last = self.spark.read.schema(TXN).parquet(f"{self.path}/txn_log").agg(F.max("txid")).first()[0] or 0
-        running = self.active()
-        self._note([(last + 1, ACTIVE)])
+        with self._alone():
+            last = self.spark.read.schema(TXN).parquet(f"{self.path}/txn_log").agg(F.max("txid")).first()[0] or 0
+            running = self.active()
+            if 0 < self.config.max_transactions <= len(running):
+                raise ConflictError(f"{len(running)} transactions are running, as many as may")
+            self._note([(last + 1, ACTIVE)])
         return Transaction(self, last + 1, frozenset(running))
 
+    @contextmanager
+    def transaction(self):
+        """A transaction that commits at the end of the block, or is rolled back by an error."""
+        txn = self.begin()
+        try:
+            yield txn
+        except BaseException:
+            txn.rollback()
+            raise
+        if txn.state == ACTIVE:
+            txn.commit()
+
+    def auto_get(self, key: bytes) -> bytes | None:
+        """get() in a transaction of its own, as the following."""
+        with self.transaction() as txn:
+            return self.get(txn, key)
+
+    def auto_set(self, key: bytes, value: bytes) -> None:
+        with self.transaction() as txn:
+            self.set(txn, [(key, value)])
+
+    def auto_delete(self, key: bytes) -> bool:
+        """Whether the key had ever been written."""
+        try:
+            with self.transaction() as txn:
+                self.delete(txn, [key])
+        except NotFoundError:
+            return False
+        return True
+
+    def auto_exists(self, key: bytes) -> bool:
+        with self.transaction() as txn:
+            return self.exists(txn, key)
+
+    def auto_count(self) -> int:
+        with self.transaction() as txn:
+            return self.count(txn)
+
     def end(self, txn: Transaction, state: str) -> None:
         self._open(txn)
         self._note([(txn.txid, state)])
@@ -107,10 +218,11 @@ class Store:
         wrong = rows.where(F.col("key").isNull() | ~F.octet_length("key").between(1, self.config.max_key_size))
         if wrong.head(1):
             raise ValueError(f"keys have 1 to {self.config.max_key_size} bytes")
-        if (running := self.active()) != [txn.txid] and mvcc.conflicts(self.log, rows, txn.txid, running).head(1):
-            raise ConflictError("another running transaction has written one of the keys")
-        base = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
-        append_log(rows.withColumns({"seq": F.lit(base) + F.monotonically_increasing_id(), "txid": F.lit(txn.txid).cast("bigint")}), f"{self.path}/kv_log", self.config.compression)
+        with self._alone():
+            if (running := self.active()) != [txn.txid] and mvcc.conflicts(self.log, rows, txn.txid, running).head(1):
+                raise ConflictError("another running transaction has written one of the keys")
+            base = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
+            append_log(rows.withColumns({"seq": F.lit(base) + F.monotonically_increasing_id(), "txid": F.lit(txn.txid).cast("bigint")}), self._log_path, self.config.compression)
 
     def set(self, txn: Transaction, rows: DataFrame | Iterable[tuple[bytes, bytes]]) -> None:
         """Writes (key, value) rows. Of rows with one key in a call, the last in the frame's order counts."""
@@ -198,14 +310,29 @@ class Store:
         pairs = cut.join(roots.select("root").distinct(), "root")
         return documents.unflatten(pairs, schema, **options)
 
+    def set_whole(self, txn: Transaction, df: DataFrame, key: Column, columns: list[str] | None = None) -> None:
+        """Writes each row as one value under its key."""
+        names = columns or df.columns
+        value = encode_object(F.struct(*names), df.select(*names).schema)
+        self.set(txn, df.select(key.alias("key"), value.alias("value")))
+
+    def get_whole(self, txn: Transaction, keys: DataFrame, schema: T.StructType) -> DataFrame:
+        """key and the fields of rows that set_whole() wrote."""
+        found = points.multi_get(self.view(txn), keys)
+        return found.select("key", decode_object(F.col("value"), schema).alias("row")).select("key", "row.*")
+
     def compact(self) -> None:
-        """Keeps only versions that someone may still read, drops rolled-back work, and rewrites the log sorted by key."""
-        states = self.transactions
-        gone = states.where(F.col("state") == ROLLED_BACK).select("txid")
-        kept = mvcc.prune(self.log.join(gone, "txid", "left_anti").select(*self.log.columns), self.active())
-        write_sorted(kept, f"{self.path}/kv_log.new", "key", "seq", compression=self.config.compression)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        old, new = (hadoop.Path(f"{self.path}/{n}") for n in ("kv_log", "kv_log.new"))
-        files = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(old, True)
-        files.rename(new, old)
+        """Keeps only versions that someone may still read, drops rolled-back work, and writes them as a new log sorted by
+        key. The log before the last one goes, so that readers who have begun can end."""
+        with self._alone():
+            states = self.transactions
+            gone = states.where(F.col("state") == ROLLED_BACK).select("txid")
+            kept = mvcc.prune(self.log.join(gone, "txid", "left_anti").select(*self.log.columns), self.active())
+            old, new = self._text("current"), f"kv_log-{uuid.uuid4().hex[:12]}"
+            write_sorted(kept, f"{self.path}/{new}", "key", "seq", compression=self.config.compression)
+            self._put("current", new)
+        at, files = hadoop_path(self.spark, self.path)
+        for entry in files.listStatus(at):
+            name = entry.getPath().getName()
+            if name.startswith("kv_log") and name not in (old, new):
+                files.delete(entry.getPath(), True)

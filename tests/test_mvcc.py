@@ -84,3 +84,15 @@ def test_many_hidden_ids_become_a_join(spark):
     hidden = range(0, 2998)
     assert mvcc.without_transactions(df, hidden).count() == 2
     assert mvcc.without_transactions(df, hidden, own=5).agg(F.min("txid")).first()[0] == 5
+
+
+def test_lock_modes(spark):
+    """Shared beside shared; exclusive blocks shared until it is released; held locks are granted again."""
+    key = spark.createDataFrame([(bytearray(b"k"),)], "key binary")
+    none = spark.createDataFrame([], "txid bigint, key binary, exclusive boolean")
+    granted = lambda held, txid, exclusive: mvcc.lock(held, key, txid, exclusive).first()["granted"]
+    shared = mvcc.locked(none, key, 1, exclusive=False)
+    assert granted(none, 1, False) and granted(shared, 2, False) and not granted(shared, 2, True) and granted(shared, 1, True)
+    alone = mvcc.locked(none, key, 1)
+    assert not granted(alone, 2, False) and granted(alone, 1, False) and mvcc.locked(alone, key, 1).count() == 1 and mvcc.locked(alone, key, 2).count() == 1
+    assert granted(mvcc.unlocked(alone, 1), 2, False)
