@@ -14,7 +14,7 @@ from kvstrata.functions import codec, keys
 from kvstrata.functions.keys import literal_key, make_key
 from kvstrata.operators import documents, mvcc, navigation, points
 from kvstrata.plans.store import Store
-from kvstrata.sources.log import documents_kv, events_log, nations_kv, orders_kv
+from kvstrata.sources.log import KV, LOG, documents_kv, events_log, nations_kv, orders_kv, write_sorted
 from kvstrata.sources.shipping import passing_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,27 @@ def without_hidden(log: DataFrame, own: int | None = None) -> DataFrame:
     return log.where(keep if own is None else keep | (F.col("txid") == own))
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, make: Query, schema: str) -> DataFrame:
+    """A table in files sorted by key, written when an application first asks for it, so that ranges of keys are looked up
+    and not searched for."""
+    name = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if name not in _stored:
+        path = f"{passing_folder(spark, make.__name__)}/table"
+        write_sorted(make(spark, sf_dir), path, *(["key", "seq"] if schema == LOG else ["key"]))
+        _stored[name] = path
+    return spark.read.schema(schema).parquet(_stored[name])
+
+
+def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, orders_kv, KV)
+
+
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events log's state with hidden transactions left out."""
-    return mvcc.newest(without_hidden(events_log(spark, sf_dir))).where("NOT is_tombstone").select("key", "value")
+    return mvcc.newest(without_hidden(stored(spark, sf_dir, events_log, LOG))).where("NOT is_tombstone").select("key", "value")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +141,12 @@ PROBES = f"""p AS (SELECT {_key_sql("'customer'", 'CAST(c_custkey AS VARCHAR)')}
 
 @query(f"{ORDERS}, {PROBES} SELECT hex(key) AS key, CASE WHEN level < 3 THEN CASE WHEN c IN (SELECT cust FROM kv) THEN 1 ELSE 0 END ELSE CASE WHEN key IN (SELECT key FROM kv) THEN 10 ELSE 0 END END AS shape FROM p")
 def data_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(points.shape(orders_kv(spark, sf_dir), _probes(spark, sf_dir)))
+    return shown(points.shape(orders_table(spark, sf_dir), _probes(spark, sf_dir)))
 
 
 @query(f"{ORDERS}, {PROBES} SELECT hex(key) AS key, CASE WHEN key IN (SELECT key FROM kv) THEN 10 ELSE 0 END AS shape FROM p")
 def data_shape_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(points.shape(orders_kv(spark, sf_dir), _probes(spark, sf_dir), faithful=True))
+    return shown(points.shape(orders_table(spark, sf_dir), _probes(spark, sf_dir), faithful=True))
 
 
 @query(f"WITH kv AS (SELECT {_key_sql("'doc'", 'source', 'lang', 'CAST(doc_id AS VARCHAR)')} AS key, encode(text) AS value FROM documents WHERE text IS NOT NULL) SELECT hex(key) AS key, octet_length(value) AS size FROM kv")
@@ -141,12 +159,12 @@ CUSTOMER7 = literal_key("customer", 7)
 
 @query(f"{ORDERS} SELECT hex(key) AS key, hex(value) AS value FROM kv WHERE cust = 7")
 def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(navigation.prefix_scan(orders_kv(spark, sf_dir), CUSTOMER7))
+    return shown(navigation.prefix_scan(orders_table(spark, sf_dir), CUSTOMER7))
 
 
 @query(f"{ORDERS} SELECT hex(key) AS key FROM kv WHERE cust = 7")
 def prefix_scan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(points.key_only(navigation.prefix_scan(orders_kv(spark, sf_dir), CUSTOMER7)))
+    return shown(points.key_only(navigation.prefix_scan(orders_table(spark, sf_dir), CUSTOMER7)))
 
 
 LOW, HIGH = literal_key("customer", 10), literal_key("customer", 50)
@@ -154,12 +172,12 @@ LOW, HIGH = literal_key("customer", 10), literal_key("customer", 50)
 
 @query(f"{ORDERS} SELECT hex(key) AS key, hex(value) AS value FROM kv WHERE key >= {_lit(LOW)} AND key < {_lit(HIGH)}")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(navigation.range_scan(orders_kv(spark, sf_dir), LOW, HIGH))
+    return shown(navigation.range_scan(orders_table(spark, sf_dir), LOW, HIGH))
 
 
 @query(f"{ORDERS} SELECT hex(key) AS key, hex(value) AS value FROM kv WHERE key >= {_lit(keys.successor(CUSTOMER7))} ORDER BY key LIMIT 1")
 def skip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(navigation.skip_prefix(orders_kv(spark, sf_dir), CUSTOMER7))
+    return shown(navigation.skip_prefix(orders_table(spark, sf_dir), CUSTOMER7))
 
 
 @query(f"{CURRENT} SELECT hex(min(key)) AS key FROM cur")
@@ -184,7 +202,7 @@ def prev_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ORDERS} SELECT hex(key) AS key, hex(lag(key) OVER (ORDER BY key)) AS prev_key, hex(lead(key) OVER (ORDER BY key)) AS next_key FROM kv")
 def neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(navigation.neighbours(orders_kv(spark, sf_dir)))
+    return shown(navigation.neighbours(orders_table(spark, sf_dir)))
 
 
 @query(f"{ASKED} SELECT hex(a.key) AS key, hex((SELECT max(key) FROM cur WHERE cur.key < a.key)) AS prev_key, hex((SELECT min(key) FROM cur WHERE cur.key > a.key)) AS next_key FROM asked a")
@@ -214,17 +232,17 @@ def count_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ORDERS} SELECT count(*) AS n FROM kv WHERE cust = 7")
 def count_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigation.count_by_prefix(orders_kv(spark, sf_dir), CUSTOMER7)
+    return navigation.count_by_prefix(orders_table(spark, sf_dir), CUSTOMER7)
 
 
 @query("SELECT 'customer.' || CAST(o_custkey AS VARCHAR) AS \"group\", count(*) AS n FROM orders GROUP BY o_custkey")
 def count_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigation.count_by_part(orders_kv(spark, sf_dir), 2)
+    return navigation.count_by_part(orders_table(spark, sf_dir), 2)
 
 
 @query(f"{ORDERS} SELECT hex(key) AS key, 4 AS n_parts FROM kv")
 def subscript_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(navigation.subscript_counts(orders_kv(spark, sf_dir)))
+    return shown(navigation.subscript_counts(orders_table(spark, sf_dir)))
 
 
 @query(f"WITH {EVENTS} SELECT hex(key) AS key, hex(value) AS value FROM ({_newest_sql(f'txid <= {AS_OF}')})")
@@ -331,7 +349,7 @@ def key_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ORDERS} SELECT DISTINCT hex({_key_sql("'customer'", 'CAST(cust AS VARCHAR)')}) AS key FROM kv")
 def key_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(orders_kv(spark, sf_dir).select(keys.ancestor("key", 2).alias("key")).distinct())
+    return shown(orders_table(spark, sf_dir).select(keys.ancestor("key", 2).alias("key")).distinct())
 
 
 @query(f"{NATIONS} SELECT hex(key || {_bytes_sql("'name'")}) AS key FROM kv")
@@ -435,7 +453,7 @@ def doc_json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'customer.' || CAST(o_custkey AS VARCHAR) AS \"group\", count(*) AS n_fields, hex(encode(max(CASE WHEN o_orderkey = f THEN o_orderstatus END))) AS first_status FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS f FROM orders) GROUP BY o_custkey")
 def query_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = documents.paths_by(orders_kv(spark, sf_dir), 2).withColumn("number", F.substring_index("path", ".", -1).cast("bigint"))
+    orders = documents.paths_by(orders_table(spark, sf_dir), 2).withColumn("number", F.substring_index("path", ".", -1).cast("bigint"))
     return orders.groupBy("group").agg(F.count("*").alias("n_fields"), F.hex(F.min_by("value", "number")).alias("first_status"))
 
 

@@ -56,5 +56,6 @@ def nations_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, language and id. A null text is no value, so such a document has no key."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
     return d.select(make_key(F.lit("doc"), F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("key"), F.col("text").cast("binary").alias("value"))

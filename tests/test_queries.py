@@ -33,6 +33,15 @@ def test_agrees_with_sql(spark, duck, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["prefix_scan", "range_scan", "count_by_prefix", "get_point"])
+def test_key_ranges_reach_the_scan(spark, name):
+    if not DATA.exists():
+        pytest.skip("no tables here")
+    plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().toString()
+    pushed = plan[plan.rindex("PushedFilters") :].split("]")[0]
+    assert "EqualTo(key" in pushed or "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed
+
+
 def test_entry(spark):
     if not DATA.exists():
         pytest.skip("no tables here")
