@@ -157,6 +157,6 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     ranges = scratch.keep(ranges.select("shard", bin_, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")))
     scratch.drop(keys)
     inside = Window.partitionBy("shard", bin_, part).orderBy(h, g, F.col(id_col))
-    placed = ranged(docs, h, g, parts).join(ranges, ["shard", bin_, part])
+    placed = ranged(docs, h, g, parts).repartition(max(1, ranges.count()), "shard", bin_, part).join(ranges, ["shard", bin_, part])
     slot = F.col("__first") + F.row_number().over(inside) - 1
     return placed.withColumn("slot", slot).select(*own, "size", "shard", "slot")

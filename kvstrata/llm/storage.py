@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvstrata.sources.shipping import is_local, ship_package
+from kvstrata.sources.shipping import hadoop_path, passing_folder, ship_package
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only on one machine, and where that is unset (as in tests), a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if spark.sparkContext.applicationId not in _own:
-            folder = tempfile.mkdtemp(prefix="kvstrata-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own[spark.sparkContext.applicationId] = Path(folder).as_uri()
-        found = _own[spark.sparkContext.applicationId]
-    return found.rstrip("/")
 
 
 def unused(taken: list[str], *names: str) -> list[str]:
@@ -60,14 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/kvstrata/{name}-{uuid.uuid4().hex[:12]}", 0
-        path, files = self._path(self.at)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-
-    def _path(self, at: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.at, self.n = spark, passing_folder(spark, name), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -92,5 +66,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path, files = self._path(t.kept_at)
+            path, files = hadoop_path(self.spark, t.kept_at)
             files.delete(path, True)
