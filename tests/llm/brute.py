@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -94,6 +95,66 @@ def check_pieces(rows, ids_of: dict[int, bytes], longest: int = 2048) -> int:
     return sum(0 if n & (n - 1) == 0 else longest - n for n in fill.values())
 
 
+class PlainMixture:
+    """Languages of a text by EM over its words, each the product of its trigrams' frequencies."""
+
+    def __init__(self, labelled: list[tuple[str, str]], bits: int = 15, smoothing: float = 0.5):
+        self.bits, counts = bits, defaultdict(lambda: defaultdict(int))
+        for text, lang in labelled:
+            for word in self.words(text):
+                for gram in word:
+                    counts[lang][gram] += 1
+        self.langs = sorted(counts)
+        self.log = {}
+        for lang in self.langs:
+            total = sum(counts[lang].values()) + smoothing * 2**bits
+            self.log[lang] = lambda gram, c=counts[lang], total=total: math.log((c.get(gram, 0) + smoothing) / total)
+
+    def words(self, text: str) -> list[list[int]]:
+        """Hashed trigrams about each letter byte, by runs of letter bytes."""
+        data = bytearray(text.encode())
+        for k in range(1, len(data)):
+            if data[k - 1] == 0xC3 and 0x80 <= data[k] <= 0x9E and data[k] != 0x97:
+                data[k] += 32
+        folded = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in data]
+        out, run = [], []
+        for k, b in enumerate(folded):
+            if b == 32:
+                out, run = [*out, run], []
+                continue
+            left, right = folded[k - 1] if k else 32, folded[k + 1] if k + 1 < len(folded) else 32
+            code = left << 16 | b << 8 | right
+            run.append((code * 2654435761 & 0xFFFFFFFF) >> (32 - self.bits))
+        return [w for w in [*out, run] if w]
+
+    def shares(self, text: str) -> dict[str, float]:
+        like = [{lang: sum(map(self.log[lang], w)) for lang in self.langs} for w in self.words(text)]
+        rel = [{lang: math.exp(x[lang] - max(x.values())) for lang in self.langs} for x in like]
+
+        def em(share: dict[str, float], rounds: int) -> dict[str, float]:
+            for _ in range(rounds):
+                total = dict.fromkeys(share, 0.0)
+                for r in rel:
+                    norm = max(sum(r[k] * share[k] for k in share), 1e-30)
+                    for k in share:
+                        total[k] += r[k] * share[k] / norm
+                share = {k: x / len(rel) for k, x in total.items()}
+            return share
+
+        first = em({k: 1 / len(self.langs) for k in self.langs}, 12)
+        order = sorted(self.langs, key=lambda k: -first[k])
+        best = (-math.inf, {})
+        for size in range(1, len(order) + 1):
+            some = {k: max(first[k], 1e-3) for k in order[:size]}
+            some = {k: x / sum(some.values()) for k, x in some.items()}
+            if size > 1:
+                some = em(some, 6)
+            value = sum(math.log(max(sum(r[k] * some[k] for k in some), 1e-30)) for r in rel) - 0.5 * size * math.log(len(rel) + 1)
+            if value > best[0]:
+                best = value, some
+        return {k: best[1].get(k, 0.0) for k in self.langs}
+
+
 class ArticleText(HTMLParser):
     """Text of the article elements of a page, blocks joined by one space, by the standard library's parser."""
 

@@ -220,6 +220,22 @@ def test_language(spark):
     assert identify_held_out(df.limit(0)).count() == 0
 
 
+def test_language_against_plain_em(spark):
+    """Predictions and scores of a mixture written down from its definition, a word and a trigram at a time."""
+    rng = random.Random(20)
+    syllables = {"en": "the and ing tion er".split(), "fr": "é eau que ment è".split(), "de": "sch ein ung ü keit".split()}
+    text = lambda langs, n: " ".join("".join(rng.choices(syllables[rng.choice(langs)], k=3)) for _ in range(n))
+    labelled = [(text([lang], 30), lang) for lang in sorted(syllables) for _ in range(30)]
+    asked = [text(rng.choices(sorted(syllables), k=rng.randrange(1, 4)), rng.randrange(1, 40)) for _ in range(60)] + ["Éa THE x1y", "a", "日本 the"]
+    model = learn(spark.createDataFrame(labelled, "text string, lang string"))
+    found = identify(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), model).orderBy("i").collect()
+    plain = brute.PlainMixture(labelled)
+    for r in found:
+        shares = plain.shares(asked[r.i])
+        main = max(shares, key=lambda lang: shares[lang])
+        assert r.lang_pred == main and abs(r.score - shares[main]) < 1e-3 and set(r.lang_set) == {k for k, x in shares.items() if x > 0}
+
+
 def test_language_sets_of_any_size(spark):
     rng = random.Random(10)
     syllables = {"en": "the and ing tion er".split(), "fr": "é eau que ment è".split(), "de": "sch ein ung ü keit".split(), "es": "ción ñ os ll ado".split(), "pl": "szcz rzy ł wie ów".split()}
@@ -270,8 +286,12 @@ def test_pipeline_stages(spark, out):
     cut = {r.doc_id: (r.text, r.n_chars) for r in stages["substring_dedup"](spark, two, out).collect()}
     expected = {i: (k.decode() if n else alone[i]) for i, (w, n, k) in brute.without_repeats(list(alone.items())).items() if n < w or not n}
     assert {i: t for i, (t, _) in cut.items()} == expected and all(len(t) == n for t, n in cut.values())
-    last = corpus_pipeline.run(spark, out)
-    assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(expected) and "ids_crc32" in last.columns
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    ids = {i: np.array([*bpe.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in expected.items()}
+    last = corpus_pipeline.run(spark, out).collect()
+    brute.check_pieces(last, ids)
 
 
 def test_kept_digest_matches(spark):
