@@ -6,7 +6,9 @@ is the product of its trigrams' smoothed frequencies, and EM estimates the propo
 languages, one to all, the one with the best likelihood less half a log of the number of words for each language is taken.
 
 Defined cases: null texts and texts without a letter are UND with score 0; with nothing to learn from, every text is; rows
-with a null id are predicted and never learned from; a null lang isn't learned from; repeated rows count each.
+with a null id are predicted and never learned from; a null lang isn't learned from; repeated rows count each; a very long
+text is predicted whole, which takes memory in proportion to it; an empty table gives no rows; other columns stay but for
+those of the result, which are replaced.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ byte of the original it came from; every piece is projected to its span of origi
 The library merges pieces inside a segment; in a model none of whose pieces holds a space mark after another character,
 segments (space marks and what follows them) are independent, so each distinct segment is encoded once.
 
-Defined cases: a null text is an empty one, which has only the end id; null ids and repeated rows are encoded each; an
-empty table gives no rows; columns other than id and text are ignored.
+Defined cases: a null text is an empty one, which has only the end id; null ids and repeated rows are encoded each; a very
+long text is encoded whole; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -38,6 +38,14 @@ def test_sentencepiece_matches_the_library(spark):
     assert encode_documents(df.limit(0), path).count() == 0
 
 
+def test_sentencepiece_of_odd_rows(spark):
+    rows = [(None, "no id", 1, "x"), (7, "twice", 2, "y"), (7, "twice", 2, "y"), (8, None, 3, "z"), (9, "日本" * 30000, 4, "w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int, decoded string")
+    got = encode_documents(df, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(i), t or "") for i, t, _, _ in rows)
+    assert {r.doc_id: len(r.ids) for r in got}[8] == 1
+
+
 def test_memo_holds_few_bytes():
     asked = []
     memo = Memo(lambda c: asked.append(c) or list(map(ord, c)), most=100_000)
@@ -377,6 +385,13 @@ def test_near_vectors_of_repeated_ids(spark):
     assert got == {k: own[k] * (100 - own[k]) for k in range(40)} | {50 + i: 0 for i in range(20)}
 
 
+def test_near_vectors_with_other_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, "a", 5), (2, [1.0, 0.01], 1, "b", 6), (None, [1.0, 0.0], 1, "c", 7), (3, [0.0, 1.0], 1, "d", 8), (4, [1.0, 0.0], 2, "e", 9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, cell string, id int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, True), 3: (0, 3, True), 4: (0, 4, True)}
+
+
 def test_components(spark, out):
     rng = random.Random(6)
     ids = list(range(200))

@@ -97,6 +97,15 @@ def test_estimates_follow_similarity():
         assert sketch.shape == (2, REGISTERS) and abs(estimate(sketch[:1], sketch[1:], np.array([len(a)]), np.array([len(b)]))[0] - true) < 0.12
 
 
+def test_packing_of_odd_rows(spark):
+    path = tokenizer_file("byte_bpe_50k.json")
+    rows = [(None, "no id"), (7, "one text, twice"), (7, "one text, twice"), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, start int, ids string").coalesce(1)
+    got = pack_documents(df, path).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows) and {r.doc_id: r.length for r in got}[8] == 1
+    assert sorted(r.offset for r in got) == sorted(np.cumsum([0, *(r.length for r in sorted(got, key=lambda r: r.offset))])[:-1].tolist()) and len({r.sequence_id for r in got}) == 1
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_remove_repeats(spark, seed):
     docs = corpus(seed)
