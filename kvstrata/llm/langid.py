@@ -92,7 +92,7 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         smooth = counts + SMOOTHING
-        self.letter, self.document = np.full((2, 2, len(langs)), [[[-np.inf]], [[0.0]]])
+        self.letter, self.document = np.full((2, 2, len(langs)), [[-np.inf], [0.0]])
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy() if langs else np.zeros((1 << GRAM_BITS, 0), np.float32)
 
     def learn_floors(self, counts: np.ndarray, documents: np.ndarray) -> None:

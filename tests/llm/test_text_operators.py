@@ -242,7 +242,7 @@ def test_language_against_plain_em(spark):
     for r in found:
         shares = plain.shares(asked[r.i])
         main = max(shares, key=lambda lang: shares[lang])
-        assert r.lang_pred == main and abs(r.score - shares[main]) < 1e-3 and set(r.lang_set) == {k for k, x in shares.items() if x > 0}
+        assert r.lang_fits and r.lang_pred == main and abs(r.score - shares[main]) < 1e-3 and set(r.lang_set) == {k for k, x in shares.items() if x > 0}
 
 
 def test_language_sets_of_any_size(spark):
