@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvstrata.llm.memo import slices
+from kvstrata.llm.memo import slices, tidy
 from kvstrata.sources.shipping import ship_package
 
 UND = "und"
@@ -82,7 +82,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k])], names=["lang", "gram", "n"])
 
-    counted = docs.select("text", "lang").mapInArrow(run, "lang string, gram int, n bigint")
+    counted = docs.select("text", "lang").mapInArrow(tidy(run), "lang string, gram int, n bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -210,7 +210,7 @@ def document_sums(labelled: DataFrame, model: Model) -> DataFrame:
                 np.add.at(total, label, np.stack([np.ones(len(mean)), mean, mean**2], 1))
         yield pa.RecordBatch.from_arrays([pa.array(model.langs, pa.string()), *map(pa.array, total.T.copy())], names=["lang", "n", "total", "squares"])
 
-    each = labelled.select("text", "lang").mapInArrow(run, "lang string, n double, total double, squares double")
+    each = labelled.select("text", "lang").mapInArrow(tidy(run), "lang string, n double, total double, squares double")
     return each.groupBy("lang").agg(F.sum("n"), F.sum("total"), F.sum("squares"))
 
 
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("lang_set", T.ArrayType(T.StringType())), ("lang_shares", T.ArrayType(T.DoubleType())), ("lang_fits", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,8 +1,12 @@
-"""A bounded per-process memo from text chunks to their encoded ids, and readers of batches in parts."""
+"""A bounded per-process memo from text chunks to their encoded ids, what worker processes keep and give back, and readers of batches in parts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+import gc
+import os
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,53 @@ class Memo(dict):
         return ids
 
 
+_kept: list = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def kept(load: Callable) -> Callable:
+    """lru_cache(2) of a loader of tokenisers, whose results a worker keeps between tasks until a task of an operator without any begins."""
+    cached = lru_cache(2)(load)
+    _kept.append(cached)
+    return cached
+
+
+def release() -> None:
+    """Drops what kept() loaders hold: workers serve the tasks of all operators, one after the other, until the application ends."""
+    held = [c for c in _kept if c.cache_info().currsize]
+    for c in held:
+        c.cache_clear()
+    if held:
+        gc.collect()  # a tokeniser and its memo refer to each other
+
+
+def give_back() -> None:
+    """Memory that was freed goes to the system; this process, which may wait for a long time, would keep much of it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function on a task's batches between release() and give_back()."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidily(work: Callable, *args):
+    """work(*args), for one group of rows, between release() and give_back()."""
+    release()
+    out = work(*args)
+    give_back()
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterable[pa.RecordBatch]:
     """Row ranges of a batch with about `limit` bytes in a string or binary column (at least one row each)."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kvstrata.llm.components import connected_components, forest
 from kvstrata.llm.langid import text_bytes
-from kvstrata.llm.memo import slices
+from kvstrata.llm.memo import slices, tidy
 from kvstrata.llm.shingles import LOWER, inside, mix, windows, word_hashes, words
 from kvstrata.llm.storage import Scratch
 
@@ -240,20 +240,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (the smallest id its links reach) and kept (doc_id = component_id) of every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(docs.mapInArrow(_sign, "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"))
+    signed = scratch.keep(docs.mapInArrow(tidy(_sign), "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"))
     nodes = signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "node bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "node")
+    bands = nodes.select("node", "sketch").mapInArrow(tidy(_bands), "node bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "node")
     shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     # one plan at every size: there are BANDS keys for every repeated node, too many to broadcast but from small inputs
     buckets = bands.join(shared.hint("merge"), "key").where("node <> first")
     tried = scratch.keep(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    likely = scratch.keep(beside(tried, nodes.select("node", "n", "sketch")).mapInArrow(_likely, "a bigint, b bigint"))
+    likely = scratch.keep(beside(tried, nodes.select("node", "n", "sketch")).mapInArrow(tidy(_likely), "a bigint, b bigint"))
     used = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("id"), "node", "h1", "h2")
-    full = docs.join(wanted, "id").mapInArrow(_sets, "node bigint, hashes binary")
+    full = docs.join(wanted, "id").mapInArrow(tidy(_sets), "node bigint, hashes binary")
     full = scratch.keep(full.groupBy("node").agg(F.first("hashes").alias("hashes")))
-    links = scratch.keep(beside(likely, full).mapInArrow(_confirm, "a bigint, b bigint"))
+    links = scratch.keep(beside(likely, full).mapInArrow(tidy(_confirm), "a bigint, b bigint"))
     scratch.drop(likely)
 
     rows = scratch.keep(signed.select("id", "n", "h1", "h2").join(nodes.select("h1", "h2", "n", "rep", "node"), ["h1", "h2", "n"], "left").select("id", "n", "node", "rep"))

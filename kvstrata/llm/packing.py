@@ -19,14 +19,13 @@ import os
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.memo import Memo, slices
+from kvstrata.llm.memo import Memo, kept, slices
 from kvstrata.sources.shipping import ship_package
 
 TIERS = (2048, 1024, 512, 256, 128)
@@ -92,7 +91,7 @@ class ByteBpe:
         return np.array(self.one(first), "<u4").tobytes() + b"".join(map(self.memo.__getitem__, rest))
 
 
-@lru_cache(2)
+@kept
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvstrata.llm.langid import text_bytes
+from kvstrata.llm.memo import tidily
 from kvstrata.llm.shingles import inside, windows, word_hashes, words
 from kvstrata.llm.storage import Scratch, unused
 
@@ -165,8 +166,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = np.cumsum([0, *(len(b) // 5 for b in blobs)])
         return pa.table({"batch": table["batch"], "group": table["group"], "hits": pa.array([np.packbits(bit[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
-    sent = narrow.groupBy("batch").applyInArrow(send_anchors, "group int, batch int, entries binary")
-    hits = scratch.keep(sent.groupBy("group").applyInArrow(answer_anchors, "batch int, group int, hits binary"))
+    sent = narrow.groupBy("batch").applyInArrow(lambda key, table: tidily(send_anchors, key, table), "group int, batch int, entries binary")
+    hits = scratch.keep(sent.groupBy("group").applyInArrow(lambda table: tidily(answer_anchors, table), "batch int, group int, hits binary"))
 
     def send_windows(key: tuple, table: pa.Table, hits: pa.Table) -> pa.Table:
         group, at, h1, h2, least = np.zeros(0, np.int32), np.zeros(1, int), *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64)
@@ -199,8 +200,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"batch": table["batch"], "h1": _blobs(h1[news], at), "h2": _blobs(h2[news], at), "ids": _blobs(least[news], at)})
 
     kinds = "batch int, h1 binary, h2 binary, ids binary"
-    sent = narrow.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(send_windows, f"group int, {kinds}")
-    earlier = scratch.keep(sent.groupBy("group").applyInArrow(answer_windows, kinds))
+    sent = narrow.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(lambda key, table, hits: tidily(send_windows, key, table, hits), f"group int, {kinds}")
+    earlier = scratch.keep(sent.groupBy("group").applyInArrow(lambda table: tidily(answer_windows, table), kinds))
     scratch.drop(hits)
 
     def cut_out(key: tuple, table: pa.Table, earlier: pa.Table) -> pa.Table:
@@ -235,4 +236,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("repeats", span)])
-    return dealt.groupBy(batch_col).cogroup(earlier.groupBy("batch")).applyInArrow(cut_out, schema)
+    return dealt.groupBy(batch_col).cogroup(earlier.groupBy("batch")).applyInArrow(lambda key, table, earlier: tidily(cut_out, key, table, earlier), schema)

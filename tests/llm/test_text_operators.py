@@ -5,12 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kvstrata.llm.langid import UND, identify, identify_held_out, learn
+from kvstrata.llm.langid import UND, gram_counts, identify, identify_held_out, learn
 from kvstrata.llm.minhash import REGISTERS, estimate, near_duplicates, registers
-from kvstrata.llm.packing import pack_documents
+from kvstrata.llm.packing import byte_bpe, pack_documents
 from kvstrata.llm.queries import tokenizer_file
 from kvstrata.llm.sharding import TOLERANCE, below, halves, shard, splitters
 from kvstrata.llm.substring_dedup import remove_repeats
@@ -144,6 +145,23 @@ def test_text_is_moved_once(spark):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def test_tasks_drop_what_other_operators_keep(spark, monkeypatch):
+    """A worker that has packed drops its tokeniser and memo when it serves a task of another operator of the pipeline."""
+    docs, path, taken = frame(spark, corpus(6)), tokenizer_file("byte_bpe_50k.json"), []
+    for kind, name in ((type(docs), "mapInArrow"), (type(docs.groupBy("doc_id")), "applyInArrow")):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, work, schema, real=real: taken.append(work) or real(self, work, schema))
+    gram_counts(docs)
+    near_duplicates(docs)
+    n = len(taken)
+    remove_repeats(docs)
+    rows = pa.table({"id": pa.array([3]), "text": ["one two three four five six"], "lang": ["en"]})
+    for work in (lambda: list(taken[0](iter(rows.to_batches()))), lambda: list(taken[1](iter(rows.to_batches()))), lambda: taken[n]((pa.scalar(0),), rows)):
+        byte_bpe(path).encode("one two three")
+        work()
+        assert byte_bpe.cache_info().currsize == 0
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
