@@ -7,7 +7,8 @@ with probability (1 - 0.75**ROWS)**BANDS, under 3e-7. Documents with equal sets
 
 In a band's bucket every node is paired with the smallest one, its centre, so a bucket of any size gives as many pairs as
 nodes. A pair's similarity is estimated jointly from both sketches and both set sizes by maximum likelihood; pairs whose
-estimate is more than SLACK under the limit (six deviations) go, and all others are confirmed on the full sets. A centre's
+estimate is more than SLACK under the limit (six deviations) go, and all others are confirmed on the full sets, which are made
+where the texts are read; no text is shuffled. A centre's
 sketch and set go once to each task that holds some of its partners, PARTNERS at most, not once a pair.
 
 After these links, only nodes of one centre that are still in different groups can matter. The largest group of a centre's
@@ -29,6 +30,7 @@ id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 COLUMNS = 1024
 #: Bytes of texts, sketches or sets (or of one longer one) that a task works on at a time.
 SLICE = 1 << 19
+#: Bits of a bitmap for each id it holds, and the power of two that it has at most (16 MB).
+ID_BITS, MAP_BITS = 32, 27
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,16 +151,33 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted shingle hashes of the rows whose text is their node's."""
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            values, sizes = sets(part.column("text"))
-            h1, h2 = sums(values, sizes)
-            mine = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
-            ends = np.cumsum(sizes)
-            hashes = [values[b - n : b].tobytes() for b, n, m in zip(ends, sizes, mine, strict=True) if m]
-            yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(mine)), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sorted shingle hashes of the wanted nodes (id, node, h1, h2) as (node, hashes), from documents (id, text).
+
+    Texts aren't shuffled: every task drops the documents whose id isn't in a bitmap of hashed ids, makes the sets of the
+    rest, and only these meet the wanted rows. A bit that several ids share lets a document through that the join drops."""
+    spark = docs.sparkSession
+    size = 1 << min(MAP_BITS, max(6, math.ceil(math.log2(max(1, wanted.count() * ID_BITS)))))
+    bit = F.pmod(F.xxhash64("id"), F.lit(size))
+    found = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+    found = found.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array(((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            for part in slices(batch, "text", SLICE):
+                values, sizes = sets(part.column("text"))
+                ends = np.cumsum(sizes)
+                hashes = pa.array([values[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, sums(values, sizes)), hashes], names=["id", "h1", "h2", "hashes"])
+
+    made = docs.where("id IS NOT NULL").select("id", "text", bit.alias("bit")).mapInArrow(tidy(run), "id bigint, h1 bigint, h2 bigint, hashes binary")
+    return made.join(wanted, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2", "node"]).select("node", "hashes")
 
 
 def _by_centre(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -243,6 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.keep(docs.mapInArrow(tidy(_sign), "id bigint, n bigint, h1 bigint, h2 bigint, sketch binary"))
     nodes = signed.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rows = scratch.keep(signed.select("id", "n", "h1", "h2").join(nodes.select("h1", "h2", "n", "rep", "node"), ["h1", "h2", "n"], "left").select("id", "n", "node", "rep"))
+    several = rows.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("id", "u")
+    same = scratch.keep(rows.join(several, "id").select("u", F.col("node").alias("v")).where("u < v").distinct())
+    scratch.drop(signed)
     bands = nodes.select("node", "sketch").mapInArrow(tidy(_bands), "node bigint, keys array<bigint>").select(F.explode("keys").alias("key"), "node")
     shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     # one plan at every size: there are BANDS keys for every repeated node, too many to broadcast but from small inputs
@@ -250,17 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = scratch.keep(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     likely = scratch.keep(beside(tried, nodes.select("node", "n", "sketch")).mapInArrow(tidy(_likely), "a bigint, b bigint"))
     used = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(used, "node", "left_semi").select(F.col("rep").alias("id"), "node", "h1", "h2")
-    full = docs.join(wanted, "id").mapInArrow(tidy(_sets), "node bigint, hashes binary")
-    full = scratch.keep(full.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    wanted = scratch.keep(nodes.join(used, "node", "left_semi").select(F.col("rep").alias("id"), "node", "h1", "h2"))
+    full = scratch.keep(full_sets(docs, wanted))
+    scratch.drop(wanted)
     links = scratch.keep(beside(likely, full).mapInArrow(tidy(_confirm), "a bigint, b bigint"))
     scratch.drop(likely)
 
-    rows = scratch.keep(signed.select("id", "n", "h1", "h2").join(nodes.select("h1", "h2", "n", "rep", "node"), ["h1", "h2", "n"], "left").select("id", "n", "node", "rep"))
-    several = rows.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("id", "u")
-    same = scratch.keep(rows.join(several, "id").select("u", F.col("node").alias("v")).where("u < v").distinct())
-    scratch.drop(signed)
-
     def groups_of(pairs: DataFrame) -> DataFrame:
         return scratch.keep(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same), scratch))
 

@@ -80,6 +80,25 @@ def test_near_duplicates_in_large_families(spark, monkeypatch):
     assert got == brute.near_documents(docs) and len({c for _, c in got.values()}) > 4
 
 
+def test_near_duplicates_shuffle_no_text(spark, monkeypatch):
+    """Texts are read where they lie, also when a full bitmap leaves the choice of documents to the join."""
+    import kvstrata.llm.minhash as module
+
+    docs, plans = corpus(4), []
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    real = type(table).mapInArrow
+    monkeypatch.setattr(module, "MAP_BITS", 6, raising=False)
+
+    def noted(self, work, schema):
+        if "text" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return real(self, work, schema)
+
+    monkeypatch.setattr(type(table), "mapInArrow", noted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table).collect()}
+    assert got == brute.near_documents(docs) and len(plans) == 2 and not any("Exchange" in p for p in plans)
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     rng = random.Random(19)
     one, two, three = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(40)) for x in "abc")
