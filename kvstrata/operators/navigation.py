@@ -100,8 +100,10 @@ def neighbours_of(kv: DataFrame, probes: DataFrame, range_rows: int = RANGE_ROWS
     both = kv.select("key", F.lit(True).alias("own")).unionByName(probes.select("key", F.lit(False).alias("own")))
     both = both.groupBy("key").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("asked")).withColumn("real", F.when(F.col("own"), F.col("key")))
     placed, inside = _ordered(both, {"prev": (F.max, "real", True), "next": (F.min, "real", False)}, range_rows)
-    before, after = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
-    out = placed.select("key", "asked", F.coalesce(F.last("real", ignorenulls=True).over(before), "__prev").alias("prev_key"), F.coalesce(F.first("real", ignorenulls=True).over(after), "__next").alias("next_key"))
+    # both frames grow from the start of an order; one that shrinks towards the end is read anew for every row
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (inside, Window.partitionBy("__p").orderBy(F.desc("key"))))
+    found = (F.coalesce(F.last("real", ignorenulls=True).over(w), f"__{name}").alias(f"{name}_key") for name, w in (("prev", before), ("next", after)))
+    out = placed.select("key", "asked", *found)
     return out.where("asked").drop("asked")
 
 

@@ -52,6 +52,13 @@ def test_neighbours_of_all(spark, range_rows):
     assert got == {k: (max((x for x in have if x < k), default=None), min((x for x in have if x > k), default=None)) for k in asked}
 
 
+def test_neighbours_of_probes_read_a_range_once(spark):
+    """A frame that shrinks towards the end of its range is read anew for every row, so that time grows with the square."""
+    df = kv(spark, [b"a", b"b"])
+    plan = N.neighbours_of(df, df)._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_points_and_shape(spark):
     df = kv(spark, [literal_key("a"), literal_key("a", "b"), literal_key("c", "d", "e")])
     asked = kv(spark, [literal_key("a"), literal_key("a", "b"), literal_key("c"), literal_key("c", "d"), literal_key("x")])
