@@ -115,7 +115,8 @@ def from_bits(bits: Column, kind: str) -> Column:
 
 
 def encode_value(x: Column, kind: str, dialect: str = "go") -> Column:
-    """Tag and payload of a column by kind, a key of TAGS; a null encodes as the null tag."""
+    """Tag and payload of a column by kind, a key of TAGS; a null encodes as the null tag. Of a whole number outside a kind of
+    up to 4 bytes only the low bytes are kept, so another number comes back."""
     if dialect not in DIALECTS or kind not in TAGS:
         raise ValueError(f"no {kind} in dialect {dialect}")
     if dialect == "rust" and kind in ("datetime", "guid"):
